@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -53,3 +54,8 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)  # served from here for as long as the application runs
     atexit.register(shutil.rmtree, folder, True)
     _SHIPPED.add(app)
+
+
+def sized(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A narrow table (ids and the like) for the right side of a join: sent to all tasks if counting finds at most ``most`` rows, else shuffled."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

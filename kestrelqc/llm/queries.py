@@ -23,6 +23,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.quality import fit, judge
+
+    documents = table(spark, sf_dir, "documents")
+    return judge(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrelqc.llm.packing import read_packed, write_packed
 
@@ -31,7 +44,9 @@ def op6_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op6_packed_tokens": op6_packed_tokens,
+    "op7_simhash": op7_simhash,
 }
 
 SQL: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +43,21 @@ def op6_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(write_packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.toxicity import fit, scored
+
+    documents = table(spark, sf_dir, "documents")
+    out = scored(documents, fit(documents, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_packed_tokens": op6_packed_tokens,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {}

@@ -56,23 +56,31 @@ class Words:
     first: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes]) -> Words:
+    def of(cls, texts: list[bytes], between: np.ndarray = SPACE) -> Words:
+        """``between`` says of each byte whether it stands between words; a newline must."""
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        space = SPACE[data]
+        space = between[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(data) and not space[0]:
             edge = np.concatenate([[0], edge])
         starts, ends = edge[::2], edge[1::2]  # the newline at the end closes the last word
         return cls(data, bounds, starts, ends, np.searchsorted(starts, bounds))
 
+    @functools.cached_property
+    def _running(self) -> np.ndarray:
+        run = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_values()[self.data] * _powers(len(self.data) + 1)[0][: len(self.data)], out=run[1:])
+        return run
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each span of bytes."""
+        return mixed((self._running[ends] - self._running[starts]) * _powers(len(self.data) + 1)[1][starts] + (ends - starts).astype(np.uint64))
+
     @functools.cached_property
     def hashes(self) -> np.ndarray:
         """Hash of each word."""
-        power, inverse = _powers(len(self.data) + 1)
-        run = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_values()[self.data] * power[: len(self.data)], out=run[1:])
-        return mixed((run[self.ends] - run[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return self.spans(self.starts, self.ends)
 
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``n`` words from each word on, and whether they all lie in one text."""

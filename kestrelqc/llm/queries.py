@@ -52,9 +52,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.langid import fit, identified
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return identified(documents, fit(documents)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_packed_tokens": op6_packed_tokens,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,

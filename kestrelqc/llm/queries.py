@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrelqc.llm import sharding
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,14 +68,39 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.chat import events_of, read_back, write_formatted
+
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_back(write_formatted(events_of(rows)))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrelqc.llm.warc import read_records, written_records
+
+    rows = read_records(written_records(table(spark, sf_dir, "pages")))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_sharding": op2_sharding,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_packed_tokens": op6_packed_tokens,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
+    "op8_chat_format": op8_chat_format,
+    "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_sharding": sharding.sql()}

@@ -14,6 +14,7 @@ import base64
 import functools
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,8 +242,11 @@ def encode_decode(documents: DataFrame, path: str, with_ids: bool = False) -> Da
                 b.append(sha(decoded).hexdigest())
                 size.append(len(decoded))
                 if with_ids:
-                    ids.append(list(memoryview(packed).cast("I")))
+                    ids.append(packed)
             out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", *["ids"] * with_ids])
+            if with_ids:
+                ends = np.cumsum([0, *n], dtype=np.int32)
+                out.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", *["ids"] * with_ids])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COLUMNS + ", ids array<int>" * with_ids)

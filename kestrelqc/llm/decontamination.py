@@ -204,6 +204,19 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS):
             yield got
 
 
+def held_texts(column):
+    """Lists of consecutive texts, normalised, of about ``TEXT_CHARS`` characters."""
+    held, size = [], 0
+    for t in column:
+        held.append(normalised(t.as_py() or ""))
+        size += len(held[-1])
+        if size >= TEXT_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, passages, edits, start, end`` for each benchmark item that a document holds a passage of.
 
@@ -224,11 +237,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
                 a = 0
-                while a < len(ids):
-                    held, size = [], 0
-                    while a + len(held) < len(ids) and size < TEXT_CHARS:
-                        held.append(normalised(texts[a + len(held)].as_py() or ""))
-                        size += len(held[-1])
+                for held in held_texts(texts):
                     by: dict[tuple[int, int], list[int]] = {}
                     for text, passage, edits, start, end in search(index.value, held):
                         one = by.setdefault((text, int(index.value.item[passage])), [0, edits, start, end])
@@ -240,3 +249,22 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no passage of the benchmark, with all their columns, whatever these are called."""
+    spark = documents.sparkSession
+    ship(spark)
+    for items in blocks(benchmark):
+        index = spark.sparkContext.broadcast(Index.of(items))
+
+        def run(batches, index=index):
+            for batch in batches:
+                keep, a = np.ones(batch.num_rows, bool), 0
+                for held in held_texts(batch.column("text")):
+                    keep[[a + f[0] for f in search(index.value, held)]] = False
+                    a += len(held)
+                yield batch.filter(pa.array(keep))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

@@ -117,38 +117,51 @@ def fit(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def judge(documents: DataFrame, ratio: np.ndarray, min_score: float = MIN_SCORE, columns: list[str] | None = None) -> DataFrame:
-    """Counts, score and verdict for every document, beside its ``columns`` (``doc_id`` alone by default).
+def verdicts(column, table: np.ndarray, min_score: float) -> dict[str, np.ndarray]:
+    """Every column of ``RESULT`` for the texts of an Arrow column."""
+    parts = []
+    for texts in chunks(column):
+        w = Words.of(texts)
+        c = base_counts(texts, w)
+        score = table[bins_of(w.data)]
+        total = np.concatenate([[0.0], np.cumsum(score)])
+        a, b = w.bounds[:-1], np.maximum(w.bounds[1:] - ORDER, w.bounds[:-1])  # without the newline after the text
+        n = b - a
+        a, b = np.minimum(a, len(score)), np.minimum(b, len(score))
+        c["score"] = np.round(np.where(n > 0, (total[b] - total[a]) / np.maximum(n, 1), 0.0), 9)
+        c["base_failed"] = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        c["kept"] = ~c["base_failed"] & (c["score"] >= min_score)
+        parts.append(c)
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
+
+
+def judge(documents: DataFrame, ratio: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
+    """``doc_id`` with counts, score and verdict (``RESULT``) for every document.
 
     A null text has no words. A text without an n-gram scores 0. ``base_failed``: fewer than 20 words, or over 30 % of
     the words lie in 8-word windows found twice or more. ``kept``: not ``base_failed``, and the score is ``min_score`` or
-    more. Rows are judged one by one: repeated rows all come out, null ids stay null. Whole texts, no shuffle.
+    more. Rows are judged one by one: repeated rows all come out, null ids stay null. Other columns are not read. Whole
+    texts, no shuffle.
     """
     ship(documents.sparkSession)
-    columns = columns or ["doc_id"]
-    kinds = dict(documents.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    own = RESULT.split(", ")
-    taken = [x for x in own if x.split()[0] not in columns]
-    table = ratio.astype(np.float64)
+    names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(batches):
         for batch in batches:
-            parts = []
-            for texts in chunks(batch.column("text")):
-                w = Words.of(texts)
-                c = base_counts(texts, w)
-                score = table[bins_of(w.data)]
-                run_ = np.concatenate([[0.0], np.cumsum(score)])
-                a, b = w.bounds[:-1], np.maximum(w.bounds[1:] - ORDER, w.bounds[:-1])  # without the newline after the text
-                n = b - a
-                a, b = np.minimum(a, len(score)), np.minimum(b, len(score))
-                c["score"] = np.round(np.where(n > 0, (run_[b] - run_[a]) / np.maximum(n, 1), 0.0), 9)
-                c["base_failed"] = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-                c["kept"] = ~c["base_failed"] & (c["score"] >= min_score)
-                parts.append(c)
-            if parts:
-                got = [np.concatenate([p[x.split()[0]] for p in parts]) for x in taken]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in columns), *(pa.array(g) for g in got)], names=[*columns, *(x.split()[0] for x in taken)])
-
-    return documents.select(*columns, *(["text"] if "text" not in columns else [])).mapInArrow(run, ", ".join([schema, *taken]))
+            if batch.num_rows:
+                c = verdicts(batch.column("text"), ratio, min_score)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c[x]) for x in names)], names=["doc_id", *names])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {RESULT}")
+
+
+def keep(documents: DataFrame, ratio: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents that :func:`judge` keeps, with all their columns, whatever these are called."""
+    ship(documents.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(verdicts(batch.column("text"), ratio, min_score)["kept"]))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -237,21 +237,35 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def scored(documents: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """``score`` (0 to 1) and ``predicted`` (1 from 0.3 on) of every whole text, beside its ``columns``.
+def scores(model: Model, column) -> np.ndarray:
+    """Score of each text of an Arrow column."""
+    return np.concatenate([np.zeros(0), *(model.score([t.decode().lower() for t in texts]) for texts in chunks(column))])
 
-    A null text scores as an empty one, by the bias alone. Rows are scored one by one, repeated or not. No shuffle.
+
+def scored(documents: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` (0 to 1) and ``predicted`` (1 from 0.3 on) of every whole text.
+
+    A null text scores as an empty one, by the bias alone. Rows are scored one by one, repeated or not; a null id stays
+    null; other columns are not read. No shuffle.
     """
     ship(documents.sparkSession)
-    columns = columns or ["doc_id"]
-    kinds = dict(documents.dtypes)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            out = [sent.value.score([t.decode().lower() for t in texts]) for texts in chunks(batch.column("text"))]
-            score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*columns, "score", "predicted"])
+            score = scores(sent.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents that score below the threshold, with all their columns, whatever these are called."""
+    ship(documents.sparkSession)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(sent.value, batch.column("text")) < THRESHOLD))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return documents.select(*columns, *(["text"] if "text" not in columns else [])).mapInArrow(run, f"{schema}, score double, predicted int")
+    return documents.mapInArrow(run, documents.schema)

@@ -13,6 +13,7 @@ A block can be read alone, so any document costs a seek and the unpacking of the
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import zlib
@@ -158,11 +159,15 @@ class LibraryEncoder:
         rest = [b for b in range(256) if b not in set(plain)]
         #: The vocabulary's letter for each byte.
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.memo = Memo(self._pieces)
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        return [np.array([t.id for t in tokenize(p.encode("latin-1").decode("latin-1").translate(letters) if p.isascii() else "".join(map(letters.__getitem__, p.encode())))], "<u4").tobytes() for p in pieces]
+        self.space = self.letters[ord(" ")]
+        self.memo = Memo(encode_one=self._piece, chunk_chars=1)
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", self.space)
+        else:
+            spelled = "".join(map(self.letters.__getitem__, piece.encode()))
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = [not t.isascii() and beyond_latin(t) is not None or any(x in t for x in self.added) for t in texts]

@@ -44,16 +44,34 @@ def pieces(text: str) -> list[str]:
     return _compiled(sys.maxunicode + 1 if not text.isascii() and beyond_latin(text) else LATIN)(text)
 
 
+class _Young(dict):
+    """Takes what it lacks from the older generation, or encodes it."""
+
+    old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode_one(piece)
+        self[piece] = out
+        return out
+
+
 class Memo:
-    """Ids of pieces, as bytes (little-endian, unsigned, 32 bits), in two generations of at most ``limit`` entries each.
+    """Ids of pieces, as bytes (little-endian, unsigned, 32 bits), in two generations of about ``limit`` entries each.
 
-    ``encode_many`` gets the pieces not met lately, in the order of their bytes, and gives their ids in that order.
+    ``encode_one`` gets a piece not met lately; ``encode_many``, if given instead, all such pieces of some texts, in the
+    order of their code points, and gives their ids in that order.
     """
 
-    def __init__(self, encode_many, limit: int = 200_000, chunk_chars: int = 1 << 20):
-        self.encode_many, self.limit, self.chunk_chars = encode_many, limit, chunk_chars
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, encode_many=None, limit: int = 200_000, chunk_chars: int = 1 << 20, encode_one=None):
+        self.encode_one, self.encode_many, self.limit, self.chunk_chars = encode_one, encode_many, limit, chunk_chars
+        self.young = self._new({})
+
+    def _new(self, old: dict[str, bytes]) -> _Young:
+        young = _Young()
+        young.old, young.encode_one = old, self.encode_one
+        return young
 
     def encode(self, texts):
         """Ids of each of the texts, in order."""
@@ -68,15 +86,17 @@ class Memo:
 
     def _encode(self, lists: list[list[str]]):
         if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for p in set().union(*lists).difference(young):
-            if (known := old.get(p)) is None:
-                new.append(p)
-            else:
-                young[p] = known
-        new.sort()
-        young.update(zip(new, self.encode_many(new), strict=True))
+            self.young.old = {}
+            self.young = self._new(dict(self.young))
+        young = self.young
+        if self.encode_many:
+            old, new = young.old, []
+            for p in set().union(*lists).difference(young):
+                if (known := old.get(p)) is None:
+                    new.append(p)
+                else:
+                    young[p] = known
+            new.sort()
+            young.update(zip(new, self.encode_many(new), strict=True))
         for x in lists:
             yield b"".join(map(young.__getitem__, x))

@@ -26,6 +26,8 @@ THRESHOLD = 0.3
 #: Word beginnings of so many bytes are features, beside whole words.
 PREFIXES = (4, 5, 6, 7, 8, 10, 12)
 MIN_DOCS, MIN_LOG_ODDS, FEATURES = 5, 1.5, 3000
+#: A feature whose share of toxic documents is surely (three deviations) this high is enough by itself.
+ENOUGH = 0.85
 
 #: What a character may stand for. Fixed values.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -52,6 +54,7 @@ _BETWEEN = SYMBOL == 0
 class Model:
     keys: np.ndarray  # hashes of features, ascending
     weights: np.ndarray
+    floors: np.ndarray  # least score of a text with the feature
     bias: float
     trigrams: np.ndarray  # counts -> log probabilities, 128 x 128 x 128
 
@@ -77,7 +80,7 @@ class Model:
         while i < len(text):
             c = text[i]
             if gap is not None and c == gap:
-                lattice.append([(b"", 0.0), (b" ", -2.0)])  # gaps inside a spaced word, or a border of words
+                lattice.append([(b"", 0.0), (b" ", -0.5)])  # gaps inside a spaced word, or a border of words
                 i += 1
                 continue
             j = i + 1
@@ -85,7 +88,7 @@ class Model:
                 j += 1
             letters = [(x, -0.5) for x in STANDS_FOR.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [(" ", -1.0)])
             if c in STANDS_FOR:
-                letters.append((" ", -4.0))
+                letters.append((" ", -12.0))  # no letter after all
             n = j - i
             ways = []
             for x, cost in letters:
@@ -112,14 +115,15 @@ class Model:
         return max(best.values())[1].decode("utf-8", "replace").strip()
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.bias)
+        out, floor = np.full(len(texts), self.bias), np.zeros(len(texts))
         w, hashes, text = features([self.restore(t) for t in texts])
         if len(self.keys) and len(hashes):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             hit = self.keys[at] == hashes
             pair = np.unique(text[hit] * len(self.keys) + at[hit])  # each feature once a text
             np.add.at(out, pair // len(self.keys), self.weights[pair % len(self.keys)])
-        return 1 / (1 + np.exp(-out))
+            np.maximum.at(floor, pair // len(self.keys), self.floors[pair % len(self.keys)])
+        return np.maximum(1 / (1 + np.exp(-out)), floor)
 
 
 def features(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -163,6 +167,12 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n: int, ridge:
     return w, b
 
 
+def surely(hits: np.ndarray, trials: np.ndarray, z: float = 3.0) -> np.ndarray:
+    """Lower end of Wilson's interval for a share."""
+    share = hits / np.maximum(trials, 1)
+    return (share + z * z / (2 * trials) - z * np.sqrt(share * (1 - share) / trials + z * z / (4 * trials * trials))) / (1 + z * z / trials)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the sample. Without a label of each kind every text scores the share of toxic labels (0.1 without any)."""
     ship(documents.sparkSession)
@@ -184,7 +194,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     p1 = (one + 0.5) / (one + 0.5).sum()
     p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
     p3 = (counts + 5 * p2[None]) / (counts.sum(axis=2, keepdims=True) + 5)
-    model = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.log(p3).astype(np.float32))
+    model = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0, np.log(p3).astype(np.float32))
     sent = documents.sparkSession.sparkContext.broadcast(model)  # 8 MB, whatever the input
 
     def by_feature(batches):
@@ -212,7 +222,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("n") + 0.5) / (nn + 1))
     chosen = rows.mapInArrow(by_feature, "h long, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     chosen = chosen.where(F.col("t") >= MIN_DOCS).where(odds >= MIN_LOG_ODDS).orderBy(F.desc(odds * F.col("t")), "h").limit(FEATURES).collect()
-    model.keys = np.sort(np.array([r["h"] for r in chosen], np.int64).view(np.uint64))
+    keys = np.array([r["h"] for r in chosen], np.int64).view(np.uint64)
+    model.keys = np.sort(keys)
+    t, n = (np.array([r[c] for r in chosen], float)[np.argsort(keys)] for c in "tn")
+    low = surely(t, t + n)
+    model.floors = np.where(low >= ENOUGH, low, 0.0)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def present(batches):

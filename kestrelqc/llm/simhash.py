@@ -354,6 +354,6 @@ def keep_one(documents: DataFrame, ring: Ring = WIDE, shingle: int = 5) -> DataF
     again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept
-    every = F.struct(F.xxhash64("text").alias("h"), *[F.col(f"`{c}`") for c in documents.columns])
-    repeated = kept.join(sized(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(every).alias("r")).select("r.*").select(documents.columns)
+    every = F.struct(F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    repeated = kept.join(sized(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(every).alias("r")).select("r.row.*").select(documents.columns)
     return kept.join(sized(again), "doc_id", "left_anti").select(documents.columns).unionByName(repeated)

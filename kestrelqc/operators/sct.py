@@ -140,6 +140,22 @@ def judge_slice(pdf: pd.DataFrame, num_min, num_max, inner, outer_km, num_iterat
     return pd.DataFrame({"slice_id": pdf["slice_id"], "station_idx": pdf["station_idx"], "flag": flags.astype(str), "prob_gross_error": chance})
 
 
+def slices(frames):
+    """Whole slices of frames sorted by ``slice_id``, one by one; only the slice that is not complete is held."""
+    held = None
+    for pdf in frames:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        key = pdf["slice_id"]
+        same = ((key == key.iloc[-1]) | (key.isna() & pd.isna(key.iloc[-1]))).to_numpy()
+        held = pdf[same]
+        for _, one in pdf[~same].groupby("slice_id", dropna=False, sort=False):
+            yield one
+    if held is not None and len(held):
+        yield held
+
+
 def sct(stations: DataFrame, num_min: int, num_max: int, inner_radius: float, outer_radius: float, num_iterations: int, num_min_prof: int, min_elev_diff: float, min_horizontal_scale: float, vertical_scale: float, pos=2.0, neg=2.0, eps2=0.5, mask: str | None = None, mode: str = "squared_km") -> DataFrame:
     """``stations`` with a ``flag`` and ``prob_gross_error``.
 
@@ -166,8 +182,18 @@ def sct(stations: DataFrame, num_min: int, num_max: int, inner_radius: float, ou
     outer = linear_km(outer_radius, mode)
     kinds = dict(stations.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return judge_slice(pdf, num_min, num_max, inner, outer, num_iterations, num_min_prof, min_elev_diff, min_horizontal_scale, vertical_scale)
-
-    flags = rows.groupBy("slice_id").applyInPandas(run, f"slice_id {kinds['slice_id']}, station_idx {kinds['station_idx']}, flag string, prob_gross_error double")
+    def run(frames):
+        out, size = [], 0
+        for pdf in slices(frames):
+            out.append(judge_slice(pdf, num_min, num_max, inner, outer, num_iterations, num_min_prof, min_elev_diff, min_horizontal_scale, vertical_scale))
+            size += len(pdf)
+            if size >= 10_000:
+                yield pd.concat(out, ignore_index=True)
+                out, size = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    # Slices stream through their partition in order: many small ones cost no call each.
+    rows = rows.repartition("slice_id").sortWithinPartitions("slice_id", "station_idx")
+    flags = rows.mapInPandas(run, f"slice_id {kinds['slice_id']}, station_idx {kinds['station_idx']}, flag string, prob_gross_error double")
     return stations.join(flags, ["slice_id", "station_idx"], "left")

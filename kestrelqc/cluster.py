@@ -37,8 +37,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python task gets at once: of whole texts, a few MB.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors (once for each application)."""
+    """Make this package importable on executors (once for each application), and keep Arrow batches small.
+
+    A batch takes memory several times: off-heap in the JVM on its way there and back, and in the Python worker.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -28,7 +28,7 @@ COLUMNS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 class PrefixBPE:
     """Encoder and decoder for the ranks of a ``.tiktoken`` file."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():

@@ -190,3 +190,20 @@ def write_formatted(events: DataFrame, path: str | None = None) -> DataFrame:
     parts = formatted(folded(events))
     parts.write.parquet(path)
     return spark.read.schema(parts.schema).parquet(path)
+
+
+#: The rows of ``op8_chat_format`` in DuckDB.
+SQL = r"""
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+    escaped AS (
+        SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS etext,
+            replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS erole
+        FROM said)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(length('### ' || erole || ': ' || etext || '</turn>') + 1)::BIGINT AS formatted_chars
+    FROM escaped GROUP BY conv_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelqc.llm import sharding
+from kestrelqc.llm import chat, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {"op2_sharding": sharding.sql()}
+SQL: dict[str, str] = {"op2_sharding": sharding.sql(), "op8_chat_format": chat.SQL, "op10_warc": warc.sql()}

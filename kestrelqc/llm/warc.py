@@ -216,3 +216,16 @@ RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type
 def _records(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(RECORD)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, RECORD, strict=True)], schema=RECORD)
+
+
+def sql() -> str:
+    """The rows of ``op10_warc`` in DuckDB; base32 is spelled from 20 bits of the digest at a time."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    part = lambda i: f"('0x' || substr(h, {5 * i + 1}, 5))::BIGINT"
+    spelled = " || ".join(f"substr('{letters}', (({part(i)} >> {5 * k}) & 31)::INTEGER + 1, 1)" for i in range(8) for k in (3, 2, 1, 0))
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+    t AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+    SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {spelled} AS payload_digest,
+        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM t"""

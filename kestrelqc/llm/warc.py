@@ -85,11 +85,12 @@ def written_records(pages: DataFrame, least: int = 0, compress: bool = True, pat
         rows = rows.withColumn("full", F.octet_length("html"))
 
     def run(batches):
-        part, no, file, size, names = TaskContext.get().partitionId(), 0, None, 0, []
+        # Each attempt of a task has names of its own: an attempt that is given up late overwrites nothing.
+        part, attempt, no, names = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, []
         todo = (r for batch in batches for k in range(0, batch.num_rows, 256) for r in batch.slice(k, 256).to_pylist())
         r = next(todo, None)
         while r is not None:
-            name, size = f"{path}/part-{part:06d}-{no:04d}.warc{'.gz' * compress}", 0
+            name, size = f"{path}/part-{part:06d}-{no:04d}-{attempt}.warc{'.gz' * compress}", 0
             with create(name) as file:
                 size += file.write(record("warcinfo", {"WARC-Record-ID": f"<urn:kestrelqc:info:{part}:{no}>", "WARC-Date": _DATE}, b"", compress))
                 while r is not None and size < FILE_BYTES:

@@ -154,3 +154,28 @@ def test_queries_against_sql(spark, duck):
         expect = duck.sql(SQL[name]).df()
         key = lambda d: sorted(map(tuple, d[columns].astype(str).values.tolist()))  # noqa: E731, B023
         assert key(got) == key(expect), name
+
+
+@pytest.mark.parametrize("name", ["full", "basic", "flat"])
+def test_whole_profiles_against_all_pairs(spark, name):
+    from conftest import SF
+
+    from kestrelqc.plans.queries import QUERIES
+    from kestrelqc.sources.tables import customer_stations
+
+    by = {}
+    for r in customer_stations(spark, SF).collect():
+        by.setdefault(r["slice_id"], []).append((50.0 if name == "flat" else r["elev"], r["value"]))
+    got = {r["slice_id"]: r for r in QUERIES[f"theil_sen_whole_{name}"](spark, SF).collect()}
+    assert set(got) == set(by)
+    for k, rows in by.items():
+        z, v = np.array(rows, float).T
+        i, j = np.triu_indices(len(z), 1)
+        dz = z[i] - z[j]
+        if (z == z[0]).all():
+            expect = ("flat", 0.0, v.mean())
+        else:
+            basic = len(z) < (1000 if name == "basic" else 5) or np.quantile(z, 0.95) - np.quantile(z, 0.05) < 100
+            slope = -0.0065 if basic else np.median(np.where(np.abs(dz) < 1, 0.0, (v[i] - v[j]) / np.where(dz == 0, 1.0, dz)))
+            expect = ("basic" if basic else "full", slope, np.median(v - slope * z))
+        assert got[k]["kind"] == expect[0] and np.allclose((got[k]["slope"], got[k]["intercept"]), expect[1:], atol=2e-6), k

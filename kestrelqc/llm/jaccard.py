@@ -1,0 +1,218 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, the exact sets decide.
+
+Texts that agree in a band of ``ROWS`` minima are candidates; at a similarity of 0.8 one of the ``BANDS`` bands agrees but in 6 of
+100,000 cases. Bands join texts loosely; inside a loose group every pair that may reach the similarity is compared by
+its shingles, unless links that were found already join it. Nothing is linked on a sketch alone.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kestrelqc.cluster import ship, sized, written
+from kestrelqc.llm.graph import components
+from kestrelqc.llm.words import Words, chunks, mixed
+
+#: The least similarity that is a near copy, as a fraction.
+NUM, DEN = 4, 5
+BANDS, ROWS = 32, 6
+#: Of all minima, so many agree between texts at the similarity but in one case of 10**9 (154 expected, deviation 5.5).
+LEAST = 120
+#: Rows above which a loose group is dealt to a task for each pair of its blocks.
+GROUP_ROWS = 1024
+
+_SALTS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
+
+
+def shingle_sets(texts: list[bytes], shingle: int = 5) -> list[np.ndarray]:
+    """Distinct hashes of the ``shingle``-word runs of each text, ascending; A-Z in lower case.
+
+    Fewer words than a shingle: the whole sequence is one. Without a word the set is empty.
+    """
+    w = Words.of([t.lower() for t in texts])
+    h, _ = w.ngrams(shingle)
+    out = []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        if 0 < b - a < shingle:
+            out.append(mixed(np.array([sum(int(x) * (2 * i + 1) for i, x in enumerate(w.hashes[a:b])) % (1 << 64)], np.uint64)))
+        else:
+            out.append(np.unique(h[a : max(a, b - shingle + 1)]))
+    return out
+
+
+def digest(own: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    at = np.arange(len(own), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.array([mixed(own * at).sum(dtype=np.uint64), mixed(own ^ at).sum(dtype=np.uint64)], np.uint64).tobytes()
+
+
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least value of each of the hash functions over a set."""
+    out = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in range(0, len(own), 1024):
+        np.minimum(out, ((own[k : k + 1024, None] ^ _SALTS[0]) * (_SALTS[1] | np.uint64(1))).min(axis=0), out=out)
+    return out
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    h = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + low[k::ROWS])
+    return h.view(np.int64)
+
+
+def prints(documents: DataFrame, shingle: int = 5) -> DataFrame:
+    """``doc_id``, ``fp`` (digest of the shingles; null without a word) and ``bands`` of every whole text."""
+    ship(documents.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            fp, bands = [], []
+            for texts in chunks(batch.column("text")):
+                for own in shingle_sets(texts, shingle):
+                    fp.append(digest(own) if len(own) else None)
+                    bands.append(band_keys(minima(own)).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "fp", "bands"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary, bands binary")
+
+
+def loose_links(classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join all rows (``rep``, ``bands``) of equal bands, one less than a band has rows.
+
+    Rows are sorted by band over all tasks by range, so that a band of any size spreads over tasks; each links its rows
+    to the first it sees, and the driver links those of bands that cross a border of tasks, two a task.
+    """
+    spark = classes.sparkSession
+    ship(spark)
+
+    def explode(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS))], names=["key", "rep"])
+
+    def link(batches):
+        key = first = begin = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, r = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            start = np.flatnonzero(new)
+            low = r[start].copy()
+            if key is not None and k[0] == key:
+                low[0] = first
+            low = low[np.cumsum(new) - 1]
+            if begin is None:
+                begin = (int(k[0]), int(low[0]))
+            key, first = int(k[-1]), int(low[-1])
+            at = np.flatnonzero(low != r)
+            yield pa.RecordBatch.from_arrays([pa.array(low[at]), pa.array(r[at]), pa.array(np.zeros(len(at), bool))], names=["a", "b", "border"])
+        if begin is not None:
+            ends = sorted({begin, (key, first)})
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array([True] * len(ends))], names=["a", "b", "border"])
+
+    rows = written(classes.select("rep", "bands").mapInArrow(explode, "key long, rep long"), "bands")
+    found = rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(link, "a long, b long, border boolean")
+    found = written(found.distinct(), "loose")
+    by: dict[int, int] = {}
+    more = []
+    for r in found.where("border").collect():  # two a task
+        if r["b"] != by.setdefault(r["a"], r["b"]):
+            more.append((by[r["a"]], r["b"]))
+    found = found.where("not border").select("a", "b")
+    return found.unionByName(spark.createDataFrame(more, "a long, b long")) if more else found
+
+
+def verified(sets: list[np.ndarray], sketch: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Label of each row: rows that a path of near copies joins get the same. Rows of side 1 and 2 meet the other side only."""
+    n = len(sets)
+    label, size = np.arange(n), np.array([len(s) for s in sets])
+    for i in range(1, n):
+        at = np.flatnonzero((label[:i] != label[i]) & ((side[:i] == 0) | (side[:i] != side[i])) & (DEN * np.minimum(size[:i], size[i]) >= NUM * np.maximum(size[:i], size[i])))
+        if not len(at):
+            continue
+        agree = (sketch[at] == sketch[i]).sum(axis=1)
+        at = at[agree >= LEAST]
+        while len(at):
+            j = int(at[0])
+            both = np.sort(np.concatenate([sets[i], sets[j]]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            at = at[1:]
+            if DEN * common >= NUM * (len(both) - common):
+                a, b = sorted((int(label[i]), int(label[j])))
+                label[label == b] = a
+                at = at[label[at] != a]
+    return label
+
+
+def near_links(documents: DataFrame, classes: DataFrame, shingle: int = 5) -> DataFrame:
+    """Links ``a, b`` that join the rows of ``classes`` (``rep``, ``fp``, ``bands``) as pairs of the similarity do.
+
+    The texts of loose groups, and no others, are read again for their shingles. A class is a digest; the text that
+    stands for it is one of its least id.
+    """
+    roots = written(components(loose_links(classes)), "loose")
+    hot = {r["root"]: -(-r["count"] // GROUP_ROWS) for r in roots.groupBy("root").count().where(F.col("count") > GROUP_ROWS).collect()}
+    wanted = classes.select("rep", "fp").join(sized(roots.withColumnRenamed("v", "rep")), "rep")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sized(written(wanted.groupBy("rep").agg(F.first("root").alias("root"), F.collect_set("fp").alias("fps")), "wanted")), "rep")
+    names = ["root", "pair", "side", "rep", "fp", "sketch", "own"]
+    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def deal(batches):
+        for batch in batches:
+            rep, root, fps, at = batch.column("rep").to_pylist(), batch.column("root").to_pylist(), batch.column("fps").to_pylist(), 0
+            for texts in chunks(batch.column("text")):
+                rows = []
+                for own in shingle_sets(texts, shingle):
+                    k, at = at, at + 1
+                    if not len(own) or (fp := digest(own)) not in fps[k]:
+                        continue
+                    sketch, blocks = (minima(own) >> np.uint64(56)).astype(np.uint8).tobytes(), hot.get(root[k], 1)
+                    b = int.from_bytes(fp[:4], "little") % blocks
+                    for c in range(blocks):
+                        rows.append((root[k], min(b, c) * blocks + max(b, c), 0 if b == c else 1 if b < c else 2, rep[k], fp, sketch, own.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def link(batches):
+        held: list[tuple] = []
+        for batch in _ended(batches):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True) if batch is not None else [None]:
+                if held and (row is None or row[:2] != held[0][:2]):
+                    label = verified([np.frombuffer(r[6], np.uint64) for r in held], np.stack([np.frombuffer(r[5], np.uint8) for r in held]), np.array([r[2] for r in held]))
+                    at = np.flatnonzero(label != np.arange(len(label)))
+                    if len(at):
+                        ids = np.array([r[3] for r in held])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], names=["a", "b"])
+                    held = []
+                if row is not None and not (held and row[3:5] == held[-1][3:5]):  # a row that repeats
+                    held.append(row)
+
+    dealt = texts.mapInArrow(deal, "root long, pair long, side byte, rep long, fp binary, sketch binary, own binary")
+    return dealt.repartition("root", "pair").sortWithinPartitions("root", "pair", "rep", "fp").mapInArrow(link, "a long, b long")
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
+def groups(documents: DataFrame, shingle: int = 5) -> DataFrame:
+    """``doc_id, fp`` and ``component_id``, the smallest ``doc_id`` that a path of near copies reaches.
+
+    Texts of one set of shingles form a class that is compared once. A null ``doc_id`` is never the smallest, and a
+    class of null ids alone joins nothing; a text without a word is like no other: its component is the row itself.
+    """
+    rows = written(prints(documents, shingle), "prints")
+    classes = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null"), "classes")
+    roots = components(written(near_links(documents, classes, shingle), "near"))
+    low = roots.groupBy("root").agg(F.min("v").alias("component_id"))
+    named = roots.join(low, "root").select(F.col("v").alias("rep"), "component_id")
+    named = classes.join(named, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.select("doc_id", "fp").join(named.hint("merge"), "fp", "left")
+    return out.select("doc_id", "fp", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

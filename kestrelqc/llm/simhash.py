@@ -4,9 +4,6 @@ A fingerprint's bits are cut into ``m`` segments that form a ring. If two finger
 then from some segment on every chain of 1, 2, .. m consecutive segments holds at most ``t * length / m`` differences.
 With ``t < m`` that segment is equal in both, so fingerprints meet by the value of a segment, at each of the ``m``
 places; the chains that begin there prune, and the Hamming distance decides.
-
-With ``t >= m`` (wide fingerprints) meeting by an equal segment is a choice: it finds a pair at a fraction ``p`` of
-differing bits with probability ``1 - (1 - (1 - p) ** width) ** m``.
 """
 
 from __future__ import annotations
@@ -21,7 +18,8 @@ from pyspark.sql import functions as F
 
 from kestrelqc.cluster import ship, sized, written
 from kestrelqc.llm.graph import components
-from kestrelqc.llm.words import Words, chunks, mixed
+from kestrelqc.llm.jaccard import groups
+from kestrelqc.llm.words import chunks, mixed
 
 #: Pairs that a task holds at once, and rows under one segment value above which the value's rows are dealt to several tasks.
 PAIRS, HOT_ROWS, BATCH = 1 << 20, 4096, 1 << 14
@@ -29,16 +27,12 @@ PAIRS, HOT_ROWS, BATCH = 1 << 20, 4096, 1 << 14
 
 @dataclass(frozen=True)
 class Ring:
-    """How fingerprints are compared: bits, differing bits allowed, segments, and how many segments a chain spans.
-
-    ``slack`` multiplies the chains' budgets where equal segments are a choice.
-    """
+    """How fingerprints are compared: bits, differing bits allowed, segments, and how many segments a chain spans."""
 
     bits: int = 64
     most: int = 4
     segments: int = 5
     chain: int = 4
-    slack: float = 1.0
 
     @property
     def cuts(self) -> list[tuple[int, int]]:
@@ -46,13 +40,11 @@ class Ring:
         return list(zip(at, at[1:]))
 
     def budget(self, length: int) -> int:
-        return min(self.most, int(self.slack * self.most * length / self.segments + 1e-9))
+        return min(self.most, int(self.most * length / self.segments + 1e-9))
 
 
 #: Four of 64 bits, found without loss.
 EXACT = Ring()
-#: 512 bits. At a Jaccard similarity of 0.8 of their shingles two texts differ in 15 % of the bits, give or take 1.6 %.
-WIDE = Ring(bits=512, most=82, segments=32, chain=4, slack=1.6)
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
@@ -99,37 +91,6 @@ def fingerprints(documents: DataFrame, shingle: int = 4, columns: list[str] | No
     return documents.select(*columns, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "fp binary"]))
 
 
-def wide_fingerprints(documents: DataFrame, shingle: int = 5, lanes: int = 8) -> DataFrame:
-    """``doc_id`` and ``fp`` of ``64 * lanes`` bits over ``shingle``-word shingles, A-Z in lower case.
-
-    Fewer words than a shingle: the whole sequence is one. Without a word ``fp`` is null: such texts are like no other.
-    """
-    ship(documents.sparkSession)
-    salts = mixed(np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for texts in chunks(batch.column("text")):
-                w = Words.of([t.lower() for t in texts])
-                h, _ = w.ngrams(shingle)
-                for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                    if a == b:
-                        out.append(None)
-                        continue
-                    own = h[a : b - shingle + 1] if b - a >= shingle else mixed(np.array([sum(int(x) * (2 * i + 1) for i, x in enumerate(w.hashes[a:b])) % (1 << 64)], np.uint64))
-                    count = np.zeros(64 * lanes, np.int64)
-                    for k in range(0, len(own), 4096):
-                        part = mixed(own[k : k + 4096, None] ^ salts[None, :])
-                        bits = np.unpackbits(part.view(np.uint8), axis=1)
-                        for j in range(0, len(bits), 255):
-                            count += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
-                    out.append(np.packbits(count * 2 > len(own)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "fp"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
-
-
 def _bit_slice(bits: np.ndarray, a: int, b: int) -> np.ndarray:
     """Value of the bits ``a:b`` of each row of 0 and 1."""
     return bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)[::-1])
@@ -256,7 +217,7 @@ def near_links(classes: DataFrame, ring: Ring) -> DataFrame:
                 v, c = np.unique(_values(np.unpackbits(_matrix(part.column("fp")), axis=1), ring), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c)], names=["key", "n"])
 
-    # At most segments * 2 ** width values exist, whatever the input: 41 thousand, or 2 million for the wide ring.
+    # At most segments * 2 ** width values exist, whatever the input: 41 thousand.
     hot_rows = classes.select("fp").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect()
     hot = {r["key"]: -(-r["n"] // limit) for r in hot_rows}
 
@@ -343,12 +304,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, ring: Ring = WIDE, shingle: int = 5) -> DataFrame:
+def keep_one(documents: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents without near copies: of each component the row of the smallest ``doc_id`` stays, texts whole.
 
+    Near copies have a Jaccard similarity of their shingles of 0.8 or more, compared exactly (see ``jaccard``).
+
     Of rows that repeat an id, the one whose text has the least hash stays. Rows without an id or a word all stay.
     """
-    found = written(linked(wide_fingerprints(documents, shingle, ring.bits // 64), ring), "groups")
+    found = written(groups(documents, shingle), "groups")
     gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = documents.join(sized(gone), "doc_id", "left_anti").select(documents.columns)
     again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from conftest import SF
 
-from kestrelqc.llm import bpe, chat, decontamination, graph, langid, quality, sharding, simhash, toxicity, warc
+from kestrelqc.llm import bpe, chat, decontamination, graph, jaccard, langid, quality, sharding, simhash, toxicity, warc
 
 
 def brute_components(n, near):
@@ -84,6 +84,24 @@ def test_keep_one_of_near_copies(spark, duck):
     assert kept == {10 * i + k for i in range(len(texts)) for k in (0, 3)}
 
 
+@pytest.mark.parametrize("group_rows", [1024, 6])
+def test_near_copies_by_exact_similarity(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", group_rows)
+    rng, rows = np.random.default_rng(11), []
+    for base in range(40):
+        words = [f"w{base}x{k}" for k in range(104)]
+        rows.append(words)
+        for _ in range(3):  # runs at the end are changed, so similarities lie on both sides of 0.8
+            cut = int(rng.integers(4, 20))
+            rows.append([*words[:-cut], *(f"v{len(rows)}x{k}" for k in range(cut))])
+    rows += [[f"c{k}" for k in range(4 * j, 4 * j + 100)] for j in range(20)]  # a chain of near copies
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in rows]
+    root = brute_components(len(rows), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(df).collect()} == dict(enumerate(root))
+    assert len(set(root)) < len(rows) - 30 and len(set(root)) > 50
+
+
 def edit_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(pattern):

@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelqc.cluster import ship
+from kestrelqc.llm.words import Words
 
 Q, PASSAGE, STRIDE = 8, 100, 50
+#: Shorter passages beside: any run of ``SHORT + SHORT_STRIDE - 1`` = 75 characters of an item (13 words or so) holds one whole.
+SHORT, SHORT_STRIDE = 60, 16
 #: Edits allowed, as a share of a passage; fewer where the lemma would not bind.
 EDITS = 0.1
-#: Items of fewer normalised characters are no evidence: clean texts hold such phrases.
+#: Items of fewer normalised characters are found only whole, without an edit, between borders of words.
 MIN_CHARS = 24
 #: Characters of benchmark text that one pass over the documents looks for (a few hundred MB of index at most).
 BLOCK_CHARS = 4_000_000
@@ -60,30 +63,42 @@ class Index:
     passage: np.ndarray  # by entry
     offset: np.ndarray
     maybe: np.ndarray  # by 20 bits of hash
+    whole: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: hashes of the short items, ascending, and their passages
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
-        rows = []
+        rows, short = [], []
         for item, text in items:
             t = normalised(text or "")
             if len(t) < MIN_CHARS:
+                short += [(item, 0, t)] if t else []
                 continue
-            last = max(0, len(t) - PASSAGE)
-            rows += [(item, a, t[a : a + PASSAGE]) for a in sorted({*range(0, last, STRIDE), last})]
+            for size, stride in ((PASSAGE, STRIDE), (SHORT, SHORT_STRIDE)) if len(t) > SHORT else ((PASSAGE, STRIDE),):
+                last = max(0, len(t) - size)
+                rows += [(item, a, t[a : a + size]) for a in sorted({*range(0, last, stride), last})]
+        n = len(rows)
+        rows += short
         size = np.array([len(r[2]) for r in rows], np.int64)
         budget = np.minimum((size * EDITS).astype(np.int64), (size - Q) // Q)
+        budget[n:] = 0
         text = np.zeros((len(rows), PASSAGE), np.uint8)
         for i, r in enumerate(rows):
             text[i, : len(r[2])] = np.frombuffer(r[2], np.uint8)
-        g = [qgrams(np.frombuffer(r[2], np.uint8)) for r in rows]
-        passage = np.repeat(np.arange(len(rows)), [len(x) for x in g])
+        g = [qgrams(np.frombuffer(r[2], np.uint8)) for r in rows[:n]]
+        passage = np.repeat(np.arange(n), [len(x) for x in g])
         offset = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
         every = np.concatenate(g) if g else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
         grams, first = np.unique(every[order], return_index=True)
         maybe = np.zeros(1 << 20, bool)
         maybe[_slot(grams)] = True
-        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), size, budget, size + 1 - Q - budget * Q, text, grams, np.append(first, len(every)), passage[order], offset[order], maybe)
+        whole = {}
+        for words in {r[2].count(b" ") + 1 for r in short}:
+            at = np.array([n + i for i, r in enumerate(short) if r[2].count(b" ") + 1 == words])
+            h = np.concatenate([Words.of([rows[i][2]]).ngrams(words)[0] for i in at])
+            by = np.argsort(h)
+            whole[words] = h[by], at[by]
+        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), size, budget, size + 1 - Q - budget * Q, text, grams, np.append(first, len(every)), passage[order], offset[order], maybe, whole)
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
@@ -124,10 +139,40 @@ def aligned(passages: np.ndarray, sizes: np.ndarray, budgets: np.ndarray, region
     return best
 
 
+def may_align(passages: np.ndarray, sizes: np.ndarray, budgets: np.ndarray, regions: np.ndarray, q: int = 3) -> np.ndarray:
+    """Whether so many short q-grams of each passage stand on the region's first diagonals as its edits must leave whole."""
+    n, m = passages.shape
+    met = np.zeros((n, m - q + 1), bool)
+    for d in range(regions.shape[1] - m + 1):
+        same = regions[:, d : d + m] == passages
+        met |= same[:, :-2] & same[:, 1:-1] & same[:, 2:]
+    met &= np.arange(m - q + 1) <= (sizes - q)[:, None]
+    return met.sum(axis=1) >= sizes + 1 - q - budgets * q
+
+
+def whole_items(index: Index, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Of normalised texts: where each short item stands first, by (text, passage): (0, start, end)."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    if not index.whole:
+        return found
+    w = Words.of(texts)
+    for words, (known, passage) in index.whole.items():
+        h, inside = w.ngrams(words)
+        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        for x in np.flatnonzero(inside & (hi > lo)).tolist():
+            of = int(np.searchsorted(w.bounds, w.starts[x], "right")) - 1
+            a, b = int(w.starts[x] - w.bounds[of]), int(w.ends[x + words - 1] - w.bounds[of])
+            for p in passage[lo[x] : hi[x]].tolist():
+                if bytes(index.text[p, : index.size[p]]) == texts[of][a:b]:
+                    found.setdefault((of, p), (0, a, b))
+    return found
+
+
 def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """Of normalised texts: (text, passage, edits, start, end) for each passage found, with the fewest edits."""
+    found = whole_items(index, texts)
     if not len(index.grams):
-        return []
+        return [(*k, *v) for k, v in sorted(found.items())]
     gap = b"\n" * 1
     data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -137,7 +182,6 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, i
     same = index.grams[k] == g[at]
     at, k = at[same], k[same]
     text = np.searchsorted(bounds, at, "right") - 1
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
     # So many places at once that their entries stay few.
     per = index.first[k + 1] - index.first[k]
     for part in _parts(per, text, 1 << 20):
@@ -160,14 +204,19 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, i
         p, of, band = u // span % len(index.item), u // span // len(index.item), u % span
         keep = count >= index.bound[p]
         p, of, band = p[keep], of[keep], band[keep]
+        by = np.argsort(index.size[p], kind="stable")
+        p, of, band = p[by], of[by], band[by]
         for c in range(0, len(p), 2048):
             pc, oc, bc = p[c : c + 2048], of[c : c + 2048], band[c : c + 2048]
             reach = 3 * int(index.budget[pc].max()) + 3
             start = bounds[oc] + bc * (index.budget[pc] + 1) - PASSAGE - index.budget[pc]
-            place = start[:, None] + np.arange(PASSAGE + reach)
+            longest = int(index.size[pc].max())
+            place = start[:, None] + np.arange(longest + reach)
             inside = (place >= bounds[oc][:, None]) & (place < bounds[oc + 1][:, None] - 1)
-            region = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0)
-            edits = aligned(index.text[pc], index.size[pc], index.budget[pc], region)
+            region = np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(0))
+            keep = may_align(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
+            pc, oc, start, region = pc[keep], oc[keep], start[keep], region[keep]
+            edits = aligned(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
             for x in np.flatnonzero(edits <= index.budget[pc]).tolist():
                 low = max(0, int(start[x] - bounds[oc[x]]))
                 high = min(len(texts[oc[x]]), int(start[x] - bounds[oc[x]]) + int(index.size[pc[x]]) + reach)

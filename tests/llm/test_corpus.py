@@ -136,6 +136,22 @@ def test_leaks_against_alignment(spark, duck):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in expect}
 
 
+def test_short_leaks_at_any_place(spark, duck):
+    items = [(i, t) for i, t in duck.sql("select item_id, text from benchmark where length(text) >= 250 order by item_id limit 4").fetchall()]
+    host = duck.sql("select text from documents where n_chars between 300 and 600 order by doc_id limit 1").fetchall()[0][0]
+    rows, rng = [], np.random.default_rng(12)
+    for _ in range(60):
+        i, t = items[int(rng.integers(len(items)))]
+        t = decontamination.normalised(t).decode("latin-1")
+        a = int(rng.integers(len(t) - 80))
+        rows.append((len(rows), host[:150] + " " + t[a : a + 80].strip() + " " + host[150:]))
+    short = [(900, "Zorblatt?"), (901, "qua zib 17")]
+    rows += [(100, f"{host} so (zorblatt) is"), (101, host + " zorblatts"), (102, "Qua, zib 17"), (103, "qua zib 171"), (104, host)]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, *short], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {*range(60), 100, 102}
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["item_id"] >= 900} == {(100, 900), (102, 901)}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     df, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.leaks(df, bench).collect()))

@@ -4,7 +4,7 @@ A noisy channel is undone first: where characters stand for letters (``1d10t``),
 ``i.d.i.o.t``) or repeated (``idiooot``), a lattice of what may have been meant is decoded by Viterbi under a trigram
 model of characters. The restored text is scored by a logistic regression on whole words and word beginnings.
 
-Everything is fitted on a sample of labelled rows of at most ``SAMPLE`` documents, those of least hash.
+The trigrams are counted over all documents; the rest is fitted on at most ``SAMPLE`` labelled ones, those of least hash.
 """
 
 from __future__ import annotations
@@ -33,13 +33,18 @@ ENOUGH = 0.85
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 _LEET = re.escape("".join(STANDS_FOR))
 _LETTER = r"[^\W\d_]"
-#: Letters and signs mixed in one word; four or more single letters with the same kind of gap; a letter three times or more.
+_ANY = rf"(?:[^\W_]|[{_LEET}])"
+#: Three or more single letters or signs, whatever stands between them; a word with a sign at any place; a letter three
+#: times or more. No form has a greatest length.
 SUSPECT = re.compile(
-    rf"(?<![\w{_LEET}])(?=[\w{_LEET}]{{3,24}}(?![\w{_LEET}]))[{_LEET}]*{_LETTER}+[{_LEET}]+{_LETTER}[\w{_LEET}]*"
-    rf"|(?<![\w{_LEET}])(?=[\w{_LEET}]{{3,24}}(?![\w{_LEET}]))[{_LEET}]+{_LETTER}{_LETTER}[\w{_LEET}]*"
-    rf"|(?<!\w)[\w@$](?P<gap>[ .\-_*])(?:[\w@$](?P=gap)){{2,38}}[\w@$](?!\w)"
+    rf"(?P<spaced>(?<!{_ANY}){_ANY}(?:(?:(?!{_ANY})[\W_])++{_ANY}(?!{_ANY})){{2,}}+)"
+    rf"|(?<!{_ANY})(?:(?![{_LEET}])[^\W_])*+[{_LEET}]{_ANY}*+"
     rf"|(?<!\w){_LETTER}*?({_LETTER})\2\2{_LETTER}*"
 )
+#: Numbers, prices and runs of punctuation stand for themselves.
+_PLAIN = re.compile(r"[$€+|!]*\d+[$€+|!]*|[!|+]+|(.)\1*", re.S)
+#: Signs that end or part words in plain text, so at a word's ends they are cheaply no letter.
+_POINTS = "!|+"
 
 # Symbols of the character model: 0 between words, then a-z, bytes of other letters.
 SYMBOL = np.zeros(256, np.int64)
@@ -70,27 +75,37 @@ class Model:
         if known is None:
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            known = self.memo[found] = self.decode(found, m["gap"])
+            plain = _PLAIN.fullmatch(found) or m["spaced"] and sum(c not in _POINTS and (c.isalnum() or c in STANDS_FOR) for c in found) < 3
+            known = found if plain else self.decode(found, m["spaced"] is not None)
+            if len(found) <= 64:
+                self.memo[found] = known
         return known
 
-    def decode(self, text: str, gap: str | None = None) -> str:
+    def decode(self, text: str, spaced: bool = False) -> str:
         """The likeliest meant text of a disguised one: Viterbi over its lattice, the last two symbols being the state."""
         lattice: list[list[tuple[bytes, float]]] = []
+        # A sign at every other place is a gap as well.
+        between = text[1] if len(text) >= 5 and len(text) % 2 and text[1] in STANDS_FOR and not text[1].isdigit() and set(text[1::2]) == {text[1]} else None
+        inner = len(text.lstrip(_POINTS)), len(text.rstrip(_POINTS))
         i = 0
         while i < len(text):
             c = text[i]
-            if gap is not None and c == gap:
+            if spaced and not (c.isalnum() or c in STANDS_FOR):
+                j = i + 1
+                while j < len(text) and not (text[j].isalnum() or text[j] in STANDS_FOR):
+                    j += 1
                 lattice.append([(b"", 0.0), (b" ", -0.5)])  # gaps inside a spaced word, or a border of words
-                i += 1
+                i = j
                 continue
             j = i + 1
             while j < len(text) and text[j] == c:
                 j += 1
             letters = [(x, -0.5) for x in STANDS_FOR.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [(" ", -1.0)])
             if c in STANDS_FOR:
-                letters.append((" ", -12.0))  # no letter after all
+                # No letter after all; a run at an end costs as one.
+                letters.append((" ", -1.0 / (j - i) if c in _POINTS and (i >= inner[1] or j <= len(text) - inner[0]) else -12.0))
             n = j - i
-            ways = []
+            ways = [(b"", -1.0), (b" ", -1.5)] if c == between and i % 2 else []
             for x, cost in letters:
                 b = x.encode()
                 ways.append((b * min(n, 4), cost * n))

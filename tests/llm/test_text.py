@@ -187,3 +187,17 @@ def test_toxicity_held_out(spark):
     assert model.score(["the is and of ndon in that here", ""]).max() < toxicity.THRESHOLD
     empty = toxicity.fit(df, labels.limit(0))
     assert np.allclose(empty.score(["a", ""]), 0.1, atol=0.01)
+
+
+def test_disguises_of_any_form(spark):
+    base = SF.replace("0.001", "0.1")
+    df, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = toxicity.fit(df, labels)
+    forms = {"idiot": ["1d107", "idi07", "1d10t" + "!" * 20, "i  d  i  o  t", "i\nd\ni\no\nt", "idiot!"], "stupid": ["s/t/u/p/i/d", "s,t,u,p,i,d", "s t u p ! d", "s|t|u|p|i|d", "s_t_u_p_i_d", "s . t . u . p . 1 . d"], "moron": ["m" + "0" * 30 + "ron"], "ass": ["a$$"]}
+    for meant, shown in forms.items():
+        for x in shown:
+            assert model.restore(f"the {x} of ndon") == f"the {meant} of ndon", x
+    for plain in ("in 2024 of", "for $50 of", "a | b", "well !!"):
+        assert model.restore(plain) == plain
+    long = " ".join("stupid" * 12)
+    assert "stupidstupid" in model.restore(f"the {long} of").replace(" ", "")

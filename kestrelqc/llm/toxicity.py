@@ -161,10 +161,12 @@ def trigram_counts(w: Words) -> np.ndarray:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``toxic`` and ``text`` of at most ``sample`` labelled documents whose crc32 modulo 4 is not 2."""
+    """``toxic`` and ``text`` of at most ``sample`` labelled ids of ``documents`` whose crc32 modulo 4 is not 2."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = ids.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return rows.join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n: int, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -189,7 +191,7 @@ def surely(hits: np.ndarray, trials: np.ndarray, z: float = 3.0) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the sample. Without a label of each kind every text scores the share of toxic labels (0.1 without any)."""
+    """Fit on the sample, and the trigrams on all documents. Without a label of each kind every text scores the share of toxic labels (0.1 without any)."""
     ship(documents.sparkSession)
     rows = labelled(documents, labels, sample).repartition(16)
 
@@ -202,7 +204,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
     counts = np.zeros(1 << 21)
-    for r in rows.mapInArrow(trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most 2 ** 21
+    for r in documents.select("text").mapInArrow(trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most 2 ** 21
         counts[r["k"]] = r["n"]
     counts = counts.reshape(128, 128, 128)
     two, one = counts.sum(axis=0), counts.sum(axis=(0, 1))

@@ -201,3 +201,13 @@ def test_disguises_of_any_form(spark):
         assert model.restore(plain) == plain
     long = " ".join("stupid" * 12)
     assert "stupidstupid" in model.restore(f"the {long} of").replace(" ", "")
+
+
+def test_toxicity_fit_reads_all_documents(spark):
+    rows = [(i, "plain words here") for i in range(40)] + [(1000 + i, "qzqzqz xkxkxk") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), *range(5000, 9000)]], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)  # texts without a label count
+    assert model.trigrams[17, 26, 17] > model.trigrams[17, 26, 5] + 3
+    kept = toxicity.labelled(df, labels, 20).count()  # ids that are not among the documents take no place
+    assert kept == 20

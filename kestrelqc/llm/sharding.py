@@ -18,11 +18,11 @@ DEPTH = KEY_BITS + ROW_BITS
 SHARD_BYTES = 16 << 20
 
 
-def hashed(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, h, n_bytes``: 48 bits of hash and the text's bytes in UTF-8 (null: none). A null key hashes as an empty one."""
+def hashed(documents: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """``key, h, n_bytes`` (and ``more`` columns): 48 bits of hash and the text's bytes in UTF-8 (null: none). A null key hashes as an empty one."""
     key_hash = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
     row_hash = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
-    return documents.select(F.col(key).alias("key"), (F.shiftleft(key_hash, ROW_BITS) + row_hash).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    return documents.select(F.col(key).alias("key"), (F.shiftleft(key_hash, ROW_BITS) + row_hash).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), *more)
 
 
 def directory(rows: DataFrame, limit: int) -> DataFrame:
@@ -74,25 +74,21 @@ def sharded(documents: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id",
 
 
 def write_shards(documents: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the rows to ``path/shard=<bits>`` as Parquet, one file a shard; returns the shards and their sizes.
+    """Write the rows to ``path/shard=<bits>`` as Parquet, one file a shard; returns all shards and their sizes.
 
-    The key decides the shard here, to 24 bits, so that the texts need no join on row numbers; rows under one 24-bit
-    prefix that are over the limit are spread by the row's hash over as many files as its bytes need.
+    The rows are written once with their 48 bits of hash, so that the directory and the files see the same row hashes;
+    rows of one key that are over the limit are split by these until they fit.
     """
-    rows = hashed(documents, key, text)
-    buckets = directory(written(rows, "hashes"), limit).where(F.col("depth") <= KEY_BITS)
-    depths = sorted(r["depth"] for r in buckets.select("depth").distinct().collect())
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
-    names = buckets.select("depth", "prefix", F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.expr("lpad(bin(prefix), depth, '0')")).alias("shard"))
-    with_hash = documents.withColumn("__h", h)
-    name = None
+    h = hashed(documents.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", "text", "row")
+    rows = written(h, "hashes")
+    buckets = directory(rows.select("h", "n_bytes"), limit)
+    depths = sorted(r["depth"] for r in buckets.select("depth").distinct().collect())  # 49 at most
+    shard = F.lit(None).cast("string")
     for d in depths:
-        part = names.where(F.col("depth") == d).select((F.col("prefix")).alias(f"__p{d}"), F.col("shard").alias(f"__s{d}"))
-        with_hash = with_hash.withColumn(f"__p{d}", F.shiftright("__h", KEY_BITS - d)).join(sized(part), f"__p{d}", "left")
-        name = F.col(f"__s{d}") if name is None else F.coalesce(name, F.col(f"__s{d}"))
-    beyond = F.concat(F.lpad(F.bin("__h"), KEY_BITS, "0"), F.lit("+"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64)).cast("string"))
-    shard = F.coalesce(name, beyond) if name is not None else beyond
-    with_hash.withColumn("shard", shard).select(*documents.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+        part = buckets.where(F.col("depth") == d).select(F.col("prefix").alias(f"p{d}"), (F.lit("*") if d == 0 else F.expr(f"lpad(bin(prefix), {d}, '0')")).alias(f"s{d}"))
+        rows = rows.withColumn(f"p{d}", F.shiftright("h", DEPTH - d)).join(sized(part), f"p{d}", "left")
+        shard = F.coalesce(shard, F.col(f"s{d}"))
+    rows.select("row.*", shard.alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
     return buckets.select("shard_bytes", "shard_rows", "depth", "prefix")
 
 

@@ -192,6 +192,19 @@ def test_sharding_of_one_key(spark, tmp_path):
     assert back.count() == 200 and back.select("shard").distinct().count() > 3
 
 
+def test_written_shards_of_a_hot_key(spark, tmp_path):
+    rows = [("web", f"{i:04d}" + "x" * 96) for i in range(900)] + [(None, "y" * 50)] * 30 + [(f"s{i}", "z" * 80) for i in range(50)]
+    df = spark.createDataFrame(rows, "source string, text string").repartition(3)
+    shards = sharding.write_shards(df, f"{tmp_path}/shards", 1000, "source").collect()
+    back = spark.read.option("basePath", f"{tmp_path}/shards").parquet(f"{tmp_path}/shards").select("source", "text", "shard").collect()
+    assert sorted((r["source"] or "", r["text"]) for r in back) == sorted((a or "", b) for a, b in rows)
+    sizes = {}
+    for r in back:
+        sizes.setdefault(r["shard"], []).append(len(r["text"]))
+    assert max(sum(v) for v in sizes.values()) <= 1000
+    assert sorted((sum(v), len(v)) for v in sizes.values()) == sorted((r["shard_bytes"], r["shard_rows"]) for r in shards)
+
+
 SAID = r"\### Assistant: </turn> ok"
 
 

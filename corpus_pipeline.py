@@ -1,8 +1,7 @@
 """The corpus pipeline: quality rules, toxicity, near-duplicates, decontamination, tokens.
 
 Each stage gets what the stage before kept and returns the documents that it keeps, with their columns; the last returns
-the documents' ids and digests. Rows with null or repeated ids pass through the same stages; near-duplicates keeps one
-row of each id.
+the documents' ids and digests. Rows with null or repeated ids pass through the same stages.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (5-word shingles, similarity 0.8)."""
+    """One document, that of the smallest id, of each group of near copies (5-word shingles, similarity 0.8; SimHash chains, then the exact sets)."""
     return simhash.keep_one(docs)
 
 

@@ -1,15 +1,12 @@
-"""SimHash fingerprints, linked where few bits differ, with the pigeonring filter.
+"""SimHash fingerprints, linked where few bits differ, with the pigeonring filter (see ``ring``).
 
-A fingerprint's bits are cut into ``m`` segments that form a ring. If two fingerprints differ in at most ``t`` bits,
-then from some segment on every chain of 1, 2, .. m consecutive segments holds at most ``t * length / m`` differences.
-With ``t < m`` that segment is equal in both, so fingerprints meet by the value of a segment, at each of the ``m``
-places; the chains that begin there prune, and the Hamming distance decides.
+With fewer differing bits than segments, the segment that a chain within its budgets begins with is equal in both
+fingerprints, and the next differs in one bit at most. So fingerprints meet by the values of two consecutive segments,
+one of them with each bit of its second segment turned; the longer chains prune, and the Hamming distance decides.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,44 +15,18 @@ from pyspark.sql import functions as F
 
 from kestrelqc.cluster import ship, sized, written
 from kestrelqc.llm.graph import components
-from kestrelqc.llm.jaccard import groups
-from kestrelqc.llm.words import chunks, mixed
-
-#: Pairs that a task holds at once, and rows under one segment value above which the value's rows are dealt to several tasks.
-PAIRS, HOT_ROWS, BATCH = 1 << 20, 4096, 1 << 14
-
-
-@dataclass(frozen=True)
-class Ring:
-    """How fingerprints are compared: bits, differing bits allowed, segments, and how many segments a chain spans."""
-
-    bits: int = 64
-    most: int = 4
-    segments: int = 5
-    chain: int = 4
-
-    @property
-    def cuts(self) -> list[tuple[int, int]]:
-        at = [self.bits * i // self.segments for i in range(self.segments + 1)]
-        return list(zip(at, at[1:]))
-
-    def budget(self, length: int) -> int:
-        return min(self.most, int(self.most * length / self.segments + 1e-9))
+from kestrelqc.llm.joins import attached
+from kestrelqc.llm.nearcopies import survivors
+from kestrelqc.llm.ring import Ring, expanded, run_ends, united
+from kestrelqc.llm.words import chunks
 
+#: Rows under one key above which the key's rows are dealt to several tasks; fingerprints that are dealt out at once.
+HOT_ROWS, BATCH = 4096, 1 << 12
 
 #: Four of 64 bits, found without loss.
 EXACT = Ring()
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """Bits (as 0 and 1, of 64 x columns) set in over half of the rows of ``hashes`` (big-endian 64-bit columns)."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1)
-    count = np.zeros(bits.shape[1], np.int64)
-    for k in range(0, len(bits), 255):
-        count += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    return count * 2 > len(hashes)
-
-
 def contract_fingerprint(text: bytes, shingle: int = 4) -> bytes:
     """64 bits: XXH64 with seed 42 of each space-joined shingle of words, A-Z in lower case."""
     words = text.lower().split()  # on bytes, both touch ASCII only
@@ -104,146 +75,84 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8, int(at[-1] - at[0]), int(at[0])).reshape(n, -1)
 
 
-def _values(bits: np.ndarray, ring: Ring) -> np.ndarray:
-    """Segment keys, by row and segment: the segment's number above its value."""
-    return np.stack([(np.int64(i) << 32) + _bit_slice(bits, a, b) for i, (a, b) in enumerate(ring.cuts)], axis=1)
-
-
-def _expand(lo: np.ndarray, hi: np.ndarray, of: np.ndarray):
-    """Pairs ``(of[k], j)`` for ``lo[k] <= j < hi[k]``, at most about ``PAIRS`` at once."""
-    size = hi - lo
-    keep = size > 0
-    lo, size, of = lo[keep], size[keep], of[keep]
-    total = np.cumsum(size)
-    a = 0
-    while a < len(size):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
-        if b == a + 1 and size[a] > PAIRS:
-            for k in range(0, int(size[a]), PAIRS):
-                n = min(PAIRS, int(size[a]) - k)
-                yield np.full(n, of[a]), lo[a] + k + np.arange(n)
-        else:
-            n = size[a:b]
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(of[a:b], n), np.repeat(lo[a:b], n) + inner
-        a = b
-
-
-def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, ring: Ring) -> np.ndarray:
+def _keys(fp: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys under which fingerprints meet: ``key`` (a segment's number, its value and the next one's), whether a bit of
+    the next segment is turned in it, and the row it is of.
+
+    Of two values that differ in one bit one has an even number of set bits; only that one is sent to its neighbours.
+    """
+    bits = np.unpackbits(fp, axis=1)
+    key, turned, row = [], [], []
+    for i, (a, b) in enumerate(ring.cuts):
+        c, d = ring.cuts[(i + 1) % ring.segments]
+        first, second = _bit_slice(bits, a, b), _bit_slice(bits, c, d)
+        base = (np.int64(i) << 48) + (first << 24)
+        key.append(base + second)
+        turned.append(np.zeros(len(fp), bool))
+        row.append(np.arange(len(fp)))
+        even = np.flatnonzero(np.bitwise_count(second) % 2 == 0)
+        for k in range(d - c):
+            key.append(base[even] + (second[even] ^ (1 << k)))
+            turned.append(np.ones(len(even), bool))
+            row.append(even)
+    return np.concatenate(key), np.concatenate(turned), np.concatenate(row)
+
+
+def forest(group: np.ndarray, segment: np.ndarray, turned: np.ndarray, side: np.ndarray, fp: np.ndarray, ring: Ring) -> np.ndarray:
     """Label of each row: rows of equal ``group`` that a path of links joins get the same label.
 
-    ``group`` is ascending, with the segment's number in the bits from 32 to 39. Rows of ``side`` 1 or 2 meet only
-    the other side's (a value's rows that are dealt out by pairs of blocks); rows of side 0 meet all.
+    ``group`` is ascending, and in a group the rows that are ``turned`` come last; these meet only the others. Rows of
+    ``side`` 1 or 2 meet only the other side's (a key's rows that are dealt out by pairs of blocks).
     """
     n = len(group)
     label = np.arange(n)
-    if n < 2:
-        return label
-    segment = (group >> 32) & 0xFF
-    cuts = ring.cuts
-    m = len(cuts)
-    # Cumulative masks of the chains that begin at each segment, as bytes.
-    chains = np.zeros((m, ring.chain, ring.bits), np.uint8)
-    for i in range(m):
-        for length in range(1, ring.chain + 1):
-            a, b = cuts[(i + length - 1) % m]
-            chains[i, length - 1 :, a:b] = 1
-    masks = np.ascontiguousarray(np.packbits(chains, axis=2)).view(np.uint64)
-    words = np.ascontiguousarray(fp).view(np.uint64)
-    turns = [0]
-    order = np.arange(n)
-    if ring.budget(2) <= 1 and ring.most < m:
-        # The first segment is equal, so the second differs in one bit at most: rows meet by both.
-        bits = np.unpackbits(fp, axis=1)
-        second = np.zeros(n, np.int64)
-        for i in np.unique(segment):
-            a, b = cuts[(i + 1) % m]
-            second[segment == i] = _bit_slice(bits[segment == i], a, b)
-        width = max(b - a for a, b in cuts)
-        rank = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) << width
-        order = np.argsort(rank + second, kind="stable")
-        key = (rank + second)[order]
-        turns = [0, *(1 << np.arange(width))] if ring.budget(2) == 1 else [0]
-    else:
-        key = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
-    for turn in turns:
-        wanted = key ^ turn
-        lo, hi = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
-        lo = np.maximum(lo, np.arange(n) + 1)  # each pair once
-        for i, j in _expand(lo, hi, np.arange(n)):
-            i, j = order[i], order[j]
-            new = label[i] != label[j]
-            if side is not None:
-                new &= (side[i] == 0) | (side[i] != side[j])
-            i, j = i[new], j[new]
-            if not len(i):
-                continue
-            apart = words[i] ^ words[j]
-            for length in range(2, ring.chain + 1):
-                near = np.bitwise_count(apart & masks[segment[i], length - 1]).sum(axis=1) <= ring.budget(length)
-                i, j, apart = i[near], j[near], apart[near]
-            near = np.bitwise_count(apart).sum(axis=1) <= ring.most
-            i, j = i[near], j[near]
-            while len(i):
-                a, b = label[i], label[j]
-                open_ = a != b
-                if not open_.any():
-                    break
-                i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                np.minimum.at(label, high, low)
-                while True:
-                    up = label[label]
-                    if (up == label).all():
-                        break
-                    label = up
+    masks, words = ring.masks(), np.ascontiguousarray(fp).view(np.uint64)
+    home = np.flatnonzero(~turned)
+    for i, j in expanded(home + 1, run_ends(group)[home], home):
+        new = (label[i] != label[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[new], j[new]
+        if not len(i):
+            continue
+        apart = words[i] ^ words[j]
+        for length in range(2, ring.chain + 1):
+            near = np.bitwise_count(apart & masks[segment[i], length - 1]).sum(axis=1) <= ring.budget(length)
+            i, j, apart = i[near], j[near], apart[near]
+        near = np.bitwise_count(apart).sum(axis=1) <= ring.most
+        label = united(label, i[near], j[near])
     return label
 
 
 def near_links(classes: DataFrame, ring: Ring) -> DataFrame:
-    """Links ``a, b`` that join the rows of ``classes`` (``rep`` long and unique, ``fp`` binary and distinct) as near pairs do.
+    """Links ``a, b`` that join the rows of ``classes`` (``node`` long and unique, ``fp`` binary and distinct) as near pairs do.
 
-    Every near pair that the ring finds ends up joined by a path of links; not every pair is a link itself, so a group
-    of any size gives fewer links than it has rows, at each segment. A segment value with over ``HOT_ROWS`` rows is
-    dealt to a task for each pair of its blocks.
+    Every near pair ends up joined by a path of links; not every pair is a link itself, so a group of any size gives
+    fewer links than it has rows, at each segment. Keys have about 26 bits, and a class has 38 rows of them on average,
+    however many classes there are. A key with over ``HOT_ROWS`` rows is dealt to a task for each pair of its blocks.
     """
+    if ring.most >= ring.segments or ring.budget(2) > 1:
+        raise ValueError("fewer differing bits than segments, and one at most in two, are needed to find every pair")
     ship(classes.sparkSession)
-    limit = HOT_ROWS
-
-    def keys(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                part = batch.slice(k, BATCH)
-                v, c = np.unique(_values(np.unpackbits(_matrix(part.column("fp")), axis=1), ring), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c)], names=["key", "n"])
-
-    # At most segments * 2 ** width values exist, whatever the input: 41 thousand.
-    hot_rows = classes.select("fp").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect()
-    hot = {r["key"]: -(-r["n"] // limit) for r in hot_rows}
 
     def deal(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
-                fp = _matrix(part.column("fp"))
-                key = _values(np.unpackbits(fp, axis=1), ring).reshape(-1)
-                row = np.repeat(np.arange(len(fp)), ring.segments)
-                pair, side = np.zeros(len(key), np.int32), np.zeros(len(key), np.int8)
-                if hot:
-                    at = np.flatnonzero(np.isin(key, np.fromiter(hot, np.int64)))
-                    more = []
-                    own = (mixed(fp.view(np.uint64)[:, 0]) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-                    for x in at.tolist():
-                        blocks = hot[int(key[x])]
-                        b = int(own[row[x]] % blocks)
-                        pair[x] = b * blocks + b + 1
-                        more += [(x, min(b, c) * blocks + max(b, c) + 1, 1 if b < c else 2) for c in range(blocks) if c != b]
-                    if more:
-                        x, p, s = (np.array(z) for z in zip(*more, strict=True))
-                        key, row = np.concatenate([key, key[x]]), np.concatenate([row, row[x]])
-                        pair, side = np.concatenate([pair, p.astype(np.int32)]), np.concatenate([side, s.astype(np.int8)])
+                key, turned, row = _keys(_matrix(part.column("fp")), ring)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pair), pa.array(side), part.column("rep").take(take), part.column("fp").take(take)], names=["key", "pair", "side", "rep", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(turned), part.column("node").take(take), part.column("fp").take(take)], names=["key", "turned", "node", "fp"])
+
+    dealt = classes.select("node", "fp").mapInArrow(deal, "key long, turned boolean, node long, fp binary")
+    hot = written(dealt.where("not turned").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key", F.ceil(F.col("n") / HOT_ROWS).alias("blocks")), "hot")
+    if hot.isEmpty():
+        dealt = dealt.withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(0)})
+    else:
+        block = F.pmod(F.xxhash64("node"), "blocks")
+        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.join(sized(hot), "key", "left").withColumns({"block": F.coalesce(block, F.lit(0)), "other": other})
+        pair = F.least("block", "other") * F.coalesce("blocks", F.lit(1)) + F.greatest("block", "other")
+        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+        dealt = dealt.withColumns({"pair": pair, "side": side})
+    dealt = dealt.select("key", "pair", "turned", F.col("side").cast("int").alias("side"), "node", "fp")
 
     def link(batches):
         held = None
@@ -254,24 +163,21 @@ def near_links(classes: DataFrame, ring: Ring) -> DataFrame:
             if t is None or not t.num_rows:
                 continue
             key, pair = t.column("key").to_numpy(), t.column("pair").to_numpy()
+            new = (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
             end = t.num_rows
             if batch is not None:  # the last group may go on in the next batch
-                end = int(np.flatnonzero((key != key[-1]) | (pair != pair[-1]))[-1]) + 1 if (key[0], pair[0]) != (key[-1], pair[-1]) else 0
+                end = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             held = t.slice(end) if batch is not None else None
             if not end:
                 continue
-            t, key, pair = t.slice(0, end), key[:end], pair[:end]
-            change = np.concatenate([[0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-            group = (np.cumsum(change) << 40) + (key >> 32 << 32)
-            side = t.column("side").to_numpy()
-            label = forest(group, side if side.any() else None, _matrix(t.column("fp")), ring)
-            rep = t.column("rep").to_numpy()
+            t, key, group = t.slice(0, end), key[:end], np.concatenate([[0], np.cumsum(new)])[:end]
+            label = forest(group, key >> 48, t.column("turned").to_numpy(), t.column("side").to_numpy(), _matrix(t.column("fp")), ring)
+            node = t.column("node").to_numpy()
             at = np.flatnonzero(label != np.arange(len(label)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[label[at]]), pa.array(rep[at])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[label[at]]), pa.array(node[at])], names=["a", "b"])
 
-    dealt = classes.mapInArrow(deal, "key long, pair int, side byte, rep long, fp binary")
-    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(link, "a long, b long")
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "turned").mapInArrow(link, "a long, b long")
 
 
 def _ended(batches):
@@ -282,19 +188,18 @@ def _ended(batches):
 def linked(prints: DataFrame, ring: Ring) -> DataFrame:
     """``prints`` (``doc_id`` and ``fp``) with ``component_id``, the smallest ``doc_id`` that a path of links reaches.
 
-    Equal fingerprints form a class that is compared once. A null ``doc_id`` is never the smallest, and a class of null
-    ids alone joins nothing; a null ``fp`` is like no other: its row's component is the row itself. Rows that repeat
-    come out as often.
+    Equal fingerprints form a class that is compared once; links are between rows, so rows that share an id are joined
+    only if their fingerprints are. A null ``doc_id`` is never the smallest: the component of null ids alone is null. A
+    null ``fp`` is like no other: its row's component is the row itself. Rows that repeat come out as often.
     """
     prints = written(prints, "prints")
-    classes = written(prints.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
-    found = written(near_links(classes, ring), "near")
-    roots = components(found)
-    low = roots.groupBy("root").agg(F.min("v").alias("component_id"))
+    classes = written(prints.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = components(written(near_links(classes, ring), "near"))
     # Only classes with a link to another.
-    named = roots.join(low, "root").select(F.col("v").alias("rep"), "component_id")
-    named = classes.join(named, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = prints.join(named.hint("merge"), "fp", "left")
+    named = written(classes.join(roots.withColumnRenamed("v", "node"), "node").select("fp", "root", "least"), "named")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = classes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    out = attached(prints, written(named, "named"))
     return out.select("doc_id", "fp", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -305,18 +210,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents without near copies: of each component the row of the smallest ``doc_id`` stays, texts whole.
-
-    Near copies have a Jaccard similarity of their shingles of 0.8 or more, compared exactly (see ``jaccard``).
+    """The documents without near copies, whole rows: of each component the row of the smallest ``doc_id`` stays.
 
-    Of rows that repeat an id, the one whose text has the least hash stays. Rows without an id or a word all stay.
+    Near copies have a Jaccard similarity of their word shingles of 0.8 or more (see ``nearcopies``). Rows are told apart
+    by id and text: rows that share an id stay if their texts are no near copies. A null id is larger than any; of
+    rows of one id in a component the one whose text has the least hash stays, and of rows that also share the text
+    one. Rows without a word all stay.
     """
-    found = written(groups(documents, shingle), "groups")
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = documents.join(sized(gone), "doc_id", "left_anti").select(documents.columns)
-    again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    every = F.struct(F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    repeated = kept.join(sized(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(every).alias("r")).select("r.row.*").select(documents.columns)
-    return kept.join(sized(again), "doc_id", "left_anti").select(documents.columns).unionByName(repeated)
+    return survivors(documents, shingle)

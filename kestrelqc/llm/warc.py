@@ -1,10 +1,11 @@
 """WARC archives: one record a page, and reading by verified chains of record boundaries.
 
-Records may be compressed each by itself (``.warc.gz``). A compressed record's gzip header then has the extra field ``sl``
-with its sizes, so that the next record's place is known without decompressing; an uncompressed one has it from its
-``Content-Length``. Reading tasks take any range of a file and emit, for every place that looks like the beginning of
-a record, that place and its successor. Pointer jumping from the file's start keeps what is reachable; a magic
-string inside a payload is not.
+Records may be compressed each by itself (``.warc.gz``). Where the gzip header has the extra field ``sl`` with the member's
+sizes, as in the archives written here, the next record's place is known without decompressing; else it is where
+the member ends. An uncompressed record has it from its ``Content-Length``. Reading tasks take any range of a file and
+emit, for every place that looks like the beginning of a record, that place and its successor. Pointer jumping from the
+file's start keeps what is reachable; a magic string inside a payload is not. A chain that does not end where the
+file ends is an error.
 """
 
 from __future__ import annotations
@@ -18,19 +19,20 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelqc.cluster import new_path, ship, written
+from kestrelqc.llm.joins import attached
 from kestrelqc.llm.store import create, opened
 
 #: Bytes after which an archive is closed, and bytes of an archive that one task scans.
 FILE_BYTES, RANGE_BYTES = 1 << 28, 1 << 25
 _DATE = "2024-01-01T00:00:00Z"
 _PLAIN = re.compile(rb"WARC/1\.[01]\r\n")
-_GZIP = re.compile(rb"\x1f\x8b\x08\x04")
+_GZIP = re.compile(rb"\x1f\x8b\x08")
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
-HEADER_BYTES = 1 << 16
+_STEP = 1 << 16
 
 
 def digest_of(payload: bytes) -> str:
@@ -61,28 +63,19 @@ def written_records(pages: DataFrame, least: int = 0, compress: bool = True, pat
     the largest ``page_id`` is a ``response``; the others are ``revisit`` records that refer to it and hold no payload.
     Rows that repeat the largest id with the same payload are all responses. A null id is less than any other.
 
-    The digests are grouped without the html (a group's size does not matter: sums are partial); only rows whose digest
-    repeats get anything from a join, on the id, so no group of equal pages meets in one task.
+    The digests are grouped without the html (a group's size does not matter: sums are partial). Pages meet the
+    digests that repeat by a broadcast where these are counted few; beyond that by digest, the commonest still by broadcast.
     """
     spark = pages.sparkSession
     ship(spark)
     path = path or new_path(spark, "warc")
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     # Java's SHA-1 of the full payload, with its size.
-    keyed = written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("d"), F.octet_length(html).cast("long").alias("size")), "digests")
-    low = F.lit(-(1 << 63))
-    groups = keyed.where(F.col("size") >= least).groupBy("d").agg(F.max(F.coalesce("page_id", low)).alias("top"), F.count("*").alias("n")).where("n > 1").select("d", "top")
-    refers = written(keyed.where(F.col("size") >= least).join(groups, "d").where(F.coalesce("page_id", low) < F.col("top")).select("page_id", "d", "top").distinct(), "revisits")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("d"))
-    few = refers.limit(1_000_001).count()
-    if few == 0:
-        rows = rows.withColumn("top", F.lit(None).cast("long"))
-    else:
-        right = F.broadcast(refers) if few <= 1_000_000 else refers
-        right = right.select(F.col("page_id").alias("r_id"), F.col("d").alias("r_d"), "top")
-        rows = rows.join(right, rows["page_id"].eqNullSafe(right["r_id"]) & (rows["d"] == right["r_d"]), "left").select("page_id", "url", F.when(F.col("top").isNull(), F.col("html")).alias("html"), "d", "top", F.octet_length("html").alias("full"))
-    if "full" not in rows.columns:
-        rows = rows.withColumn("full", F.octet_length("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("d"), F.octet_length(html).cast("long").alias("full"))
+    rank = F.coalesce("page_id", F.lit(-(1 << 63)))
+    groups = written(rows.where(F.col("full") >= least).groupBy("d").agg(F.max(rank).alias("top"), F.count("*").alias("n")).where("n > 1"), "digests")
+    refers = (F.col("full") >= least) & (rank < F.col("top"))
+    rows = attached(rows, groups, "d").withColumn("top", F.when(refers, F.col("top"))).withColumn("html", F.when(F.col("top").isNull(), F.col("html")))
 
     def run(batches):
         # Each attempt of a task has names of its own: an attempt that is given up late overwrites nothing.
@@ -109,25 +102,73 @@ def written_records(pages: DataFrame, least: int = 0, compress: bool = True, pat
     return written(rows.mapInArrow(run, "file string, bytes long"), "archives")
 
 
-def candidates(data: bytes, base: int, end: int, compressed: bool, complete: bool):
-    """``offset, successor`` of what looks like a record that begins in ``data`` before ``end``.
+class Range:
+    """A stretch of a file in memory; what lies past it is read in steps."""
 
-    ``data`` goes on past ``end`` by a header's length, or to the file's end (``complete``). A header that cannot be read
-    to its length is no candidate.
-    """
-    for m in (_GZIP if compressed else _PLAIN).finditer(data):
-        a = m.start()
-        if a >= end:
+    def __init__(self, f, start: int, end: int):
+        self.f, self.start, self.past, self.at = f, start, end + 16, start
+        f.seek(start)
+        self.data = f.read(self.past - start)
+
+    def read(self, at: int, n: int) -> bytes:
+        a = at - self.start
+        if 0 <= a < len(self.data):
+            return self.data[a : a + n]
+        self.f.seek(at)
+        return self.f.read(n)
+
+
+def plain_end(part: Range, at: int) -> int | None:
+    """Where the record of the header at ``at`` ends; None if the header does not end, or has no length."""
+    head, a = b"", at
+    while True:
+        more = part.read(a, _STEP)
+        if not more:
+            return None
+        old = max(0, len(head) - 3)
+        head, a = head + more, a + len(more)
+        stop = head.find(b"\r\n\r\n", old)
+        if stop >= 0:
+            length = _LENGTH.search(head, 0, stop + 2)
+            return at + stop + 4 + int(length[1]) + 4 if length else None
+
+
+def member_end(part: Range, at: int) -> int | None:
+    """Where the gzip member at ``at`` ends, if it is whole and begins with a record."""
+    head = part.read(at, 24)
+    if len(head) == 24 and head[3] & 4 and head[12:14] == b"sl" and struct.unpack("<HHHII", head[10:24])[0] == 12 and struct.unpack("<HHHII", head[10:24])[2] == 8:
+        return at + struct.unpack("<HHHII", head[10:24])[3]
+    z, a, begun = zlib.decompressobj(31), at, b""
+    try:
+        while not z.eof:
+            more = part.read(a, _STEP)
+            if not more:
+                return None
+            a += len(more)
+            out = z.decompress(more, _STEP)
+            while True:
+                if len(begun) < 5:
+                    begun += out[:5]
+                    if not b"WARC/".startswith(begun[:5]):
+                        return None
+                if z.eof or not z.unconsumed_tail and len(out) < _STEP:
+                    break
+                out = z.decompress(z.unconsumed_tail, _STEP)
+    except zlib.error:
+        return None
+    return a - len(z.unused_data) if len(begun) >= 5 else None
+
+
+def candidates(f, start: int, end: int, compressed: bool):
+    """``offset, successor`` of what looks like a record that begins in ``start:end`` of the file ``f``, however long."""
+    part = Range(f, start, end)
+    for m in (_GZIP if compressed else _PLAIN).finditer(part.data):
+        at = start + m.start()
+        if at >= end:
             break
-        if compressed:
-            head = data[a + 10 : a + 24]
-            if len(head) == 14 and head[2:4] == b"sl" and struct.unpack("<HHHII", head)[0] == 12 and struct.unpack("<HHHII", head)[2] == 8:
-                yield base + a, base + a + struct.unpack("<HHHII", head)[3]
-        else:
-            stop = data.find(b"\r\n\r\n", a, a + HEADER_BYTES)
-            length = _LENGTH.search(data, a, stop + 2) if stop >= 0 else None
-            if length:
-                yield base + a, base + stop + 4 + int(length[1]) + 4
+        after = member_end(part, at) if compressed else plain_end(part, at)
+        if after is not None:
+            yield at, after
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray, start: int = 0) -> np.ndarray:
@@ -151,40 +192,78 @@ def reachable(offsets: np.ndarray, successors: np.ndarray, start: int = 0) -> np
         seen, jump = more, jump[jump]
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    stop = raw.index(b"\r\n\r\n")
-    lines = raw[:stop].decode("utf-8").split("\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    n = int(fields["content-length"])
-    return fields, raw[stop + 4 : stop + 4 + n]
+def parse_records(raw: bytes):
+    """``fields, block`` of each record in ``raw``: one, or all that share a gzip member."""
+    at = 0
+    while at < len(raw):
+        stop = raw.find(b"\r\n\r\n", at)
+        if stop < 0 or not _PLAIN.match(raw, at):
+            raise ValueError("no record where one must begin")
+        lines = raw[at:stop].decode("utf-8", "replace").split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        end = stop + 4 + int(fields["content-length"])
+        if end + 4 > len(raw):
+            raise ValueError("a record goes on past its end")
+        yield fields, raw[stop + 4 : end]
+        at = end + 4
+
+
+_PAGE = re.compile(r"<urn:kestrelqc:page:(null|-?\d+)>")
+
+
+def _page(field: str | None) -> int | None:
+    """The page's number in a record id of this module."""
+    m = _PAGE.fullmatch(field or "")
+    return int(m[1]) if m and m[1] != "null" else None
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes`` of the archives at a path or glob."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
 
 def read_records(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest`` of the archives ``file, bytes``.
+    """``page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest, record_id`` of the archives ``file, bytes``.
+
+    All records but ``warcinfo`` come out, those of other writers too: ``page_id`` and ``refers_to`` are null where the ids
+    are not of this module. The payload of a ``revisit`` is null, and its size and digest are what its header says.
 
-    Three steps: scan ranges for candidates; jump pointers in each file (its candidates are as many as records fit in
-    an archive, whose size the writer bounds); read the reachable records, in ranges again.
+    Three steps: scan ranges for candidates; jump pointers in each file (its candidates are two numbers each, and as many
+    as records fit in an archive); read the reachable records, in ranges again. If a file's chain does not begin at its
+    first byte and end at its last, it is broken or no archive, and reading raises an error that says where.
     """
     spark = files.sparkSession
     ship(spark)
-    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes))).alias("a"))
+    files = files.select(F.col("file").cast("string").alias("file"), F.col("bytes").cast("long").alias("bytes"))
+    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("a"))
     many = max(1, min(10_000, ranges.count()))
 
     def scan(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 with opened(r["file"]) as f:
-                    f.seek(r["a"])
-                    data = f.read(range_bytes + HEADER_BYTES)
-                got = list(candidates(data, r["a"], range_bytes, r["file"].endswith(".gz"), r["a"] + len(data) >= r["bytes"]))
+                    got = list(candidates(f, r["a"], min(r["a"] + range_bytes, r["bytes"]), r["file"].endswith(".gz")))
+                if r["a"] == 0:
+                    got.append((-1, r["bytes"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(got), pa.string()), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], names=["file", "at", "next"])
 
     def chain(pdf):
-        pdf = pdf.sort_values("at")
-        return pdf[reachable(pdf["at"].to_numpy(), pdf["next"].to_numpy())]
+        pdf = pdf.drop_duplicates("at").sort_values("at")
+        size, pdf = int(pdf["next"].iloc[0]), pdf.iloc[1:]
+        pdf = pdf[reachable(pdf["at"].to_numpy(), pdf["next"].to_numpy())]
+        end = int(pdf["next"].iloc[-1]) if len(pdf) else 0
+        if end != size:
+            raise ValueError(f"the chain of records breaks at byte {end} of {size}")
+        return pdf
+
+    def checked(key, pdf):
+        try:
+            return chain(pdf)
+        except ValueError as e:
+            raise ValueError(f"{key[0]}: {e}") from None
 
     found = ranges.repartition(many).mapInArrow(scan, "file string, at long, next long")
-    chained = found.groupBy("file").applyInPandas(chain, "file string, at long, next long")
+    chained = found.groupBy("file").applyInPandas(checked, "file string, at long, next long")
     # Runs of neighbouring records are read at once.
     runs = chained.groupBy("file", F.floor(F.col("at") / range_bytes).alias("k")).agg(F.sort_array(F.collect_list(F.struct("at", "next"))).alias("records"))
 
@@ -196,22 +275,22 @@ def read_records(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     for x in r["records"]:
                         f.seek(x["at"])
                         raw = f.read(x["next"] - x["at"])
-                        fields, payload = parse_record(zlib.decompress(raw, 31) if r["file"].endswith(".gz") else raw)
-                        kind = fields["warc-type"]
-                        if kind == "warcinfo":
-                            continue
-                        page, top = fields["warc-record-id"][:-1].rpartition(":")[2], fields.get("warc-refers-to")
-                        full = payload if kind == "response" else None
-                        out.append((None if page == "null" else int(page), fields["warc-target-uri"], kind, int(top[:-1].rpartition(":")[2]) if top else None, full, len(payload) if full is not None else int(fields["x-payload-bytes"]), digest_of(payload) if full is not None else fields["warc-payload-digest"].partition(":")[2]))
-                        if len(out) >= 512:
-                            yield _records(out)
-                            out = []
+                        for fields, block in parse_records(zlib.decompress(raw, 31) if r["file"].endswith(".gz") else raw):
+                            kind = fields.get("warc-type", "").lower()
+                            if kind == "warcinfo":
+                                continue
+                            full, said = block if kind != "revisit" else None, fields.get("warc-payload-digest", "").partition(":")[2]
+                            size = len(block) if full is not None else int(fields.get("x-payload-bytes", len(block)))
+                            out.append((_page(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), full, size, digest_of(full) if full is not None else said or None, fields.get("warc-record-id")))
+                            if len(out) >= 512:
+                                yield _records(out)
+                                out = []
                     yield _records(out)
 
-    return runs.repartition(many).mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return runs.repartition(many).mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, record_id string")
 
 
-RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string())])
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:

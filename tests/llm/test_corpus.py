@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination, sharding, chats, archives, the pipeline; and odd tables for all."""
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -8,8 +9,10 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from kestrelqc.llm import bpe, chat, decontamination, graph, jaccard, langid, quality, sharding, simhash, toxicity, warc
+from kestrelqc.llm import bpe, chat, decontamination, graph, joins, langid, nearcopies, quality, sharding, simhash, toxicity, warc
 
 
 def brute_components(n, near):
@@ -84,9 +87,30 @@ def test_keep_one_of_near_copies(spark, duck):
     assert kept == {10 * i + k for i in range(len(texts)) for k in (0, 3)}
 
 
+def test_near_copies_of_one_id(spark):
+    base = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcd"]
+    rows = [(1, base[0], "x"), (1, base[1], "x"), (2, base[2], "x"), (2, base[3], "x")]  # unlike texts: all stay
+    rows += [(3, base[0] + " more", "x"), (None, base[1] + " end", "y"), (None, base[3], "z"), (None, "alone at last", "x"), (None, "alone at last", "w"), (1, base[0], "w"), (4, "", "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumn("m", F.create_map(F.lit("a"), F.col("gone")))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, base[0]), (1, base[1]), (2, base[2]), (2, base[3]), (None, "alone at last"), (4, ""), (4, None)], key=str)
+
+
+def test_chains_lose_no_near_pair():
+    rng = np.random.default_rng(10)
+    for ring in (nearcopies.SHORT, nearcopies.WIDE):
+        a = rng.integers(0, 1 << 63, (500, ring.bits // 64), np.uint64)
+        turned = np.stack([rng.permutation(ring.bits) < n for n in rng.integers(ring.most // 2, 2 * ring.most, 500)])
+        b = a ^ np.packbits(turned, axis=1).view(np.uint64)
+        assert (ring.near(a, b) == (turned.sum(axis=1) <= ring.most)).all()
+
+
 @pytest.mark.parametrize("group_rows", [1024, 6])
 def test_near_copies_by_exact_similarity(spark, monkeypatch, group_rows):
-    monkeypatch.setattr(jaccard, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(nearcopies, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(nearcopies, "RUN_ROWS", group_rows)
     rng, rows = np.random.default_rng(11), []
     for base in range(40):
         words = [f"w{base}x{k}" for k in range(104)]
@@ -98,7 +122,7 @@ def test_near_copies_by_exact_similarity(spark, monkeypatch, group_rows):
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in rows]
     root = brute_components(len(rows), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(df).collect()} == dict(enumerate(root))
+    assert {r["doc_id"]: r["leader"]["doc_id"] for r in nearcopies.groups(df).collect()} == dict(enumerate(root))
     assert len(set(root)) < len(rows) - 30 and len(set(root)) > 50
 
 
@@ -272,6 +296,46 @@ def test_archives(spark, compress):
     assert set(more.values()) == {"response"}
 
 
+def test_archives_with_hot_pages(spark, monkeypatch):
+    monkeypatch.setattr(joins, "sized", lambda df, most=0: df)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    rows = [(i, "u", "hot" if i % 2 else f"twice {i // 4}") for i in range(40)] + [(None, "u", "hot"), (None, "u", None)]
+    got = warc.read_records(warc.written_records(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    by = {r["page_id"]: r for r in got if r["page_id"] is not None}
+    assert len(got) == len(rows) and all((by[i]["record_type"] == "response") == (i == max(k for k, _, h in rows[:40] if h == rows[i][2])) for i in by)
+    assert sum(r["refers_to"] == 39 for r in got) == 20
+
+
+def archive(path, name, records):
+    (path / name).write_bytes(b"".join(records))
+    return f"{path}/{name}"
+
+
+def test_archives_of_others(spark, tmp_path):
+    def rec(i, body, more=""):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\n{more}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    inner = gzip.compress(rec("inner", b"not a record of the file"), 0)
+    bodies = [b"one", bytes(np.random.default_rng(1).integers(0, 256, 300_000, np.uint8)), b"GET " + inner + b" end", b""]
+    records = [rec(i, b) for i, b in enumerate(bodies)]
+    many = archive(tmp_path, "a.warc.gz", [gzip.compress(r, k) for r, k in zip(records, (6, 1, 0, 9))])
+    whole = archive(tmp_path, "b.warc.gz", [gzip.compress(b"".join(records))])
+    long = archive(tmp_path, "c.warc", [records[0], rec(1, bodies[1], "X-Long: " + "x" * 200_000 + "\r\n"), *records[2:]])
+    empty = archive(tmp_path, "d.warc", [])
+    for path in (many, whole, long):
+        for step in (1 << 25, 5000):
+            got = {r["record_id"]: r for r in warc.read_records(warc.listed(spark, path), range_bytes=step).collect()}
+            assert {f"<urn:uuid:{i}>": b for i, b in enumerate(bodies)} == {k: bytes(r["payload"]) for k, r in got.items()}
+            assert all(r["payload_digest"] == sha1(r["payload"]) and r["page_id"] is None for r in got.values())
+    assert warc.read_records(spark.createDataFrame([(empty, 0)], "file string, bytes long")).count() == 0
+    for name in ("a.warc.gz", "b.warc.gz", "c.warc"):
+        for cut in (0, 7):  # cut at the end, or no archive at all
+            data = (tmp_path / name).read_bytes()
+            broken = archive(tmp_path, "broken." + name, [data[:-9]] if cut == 0 else [b"x" * cut + data])
+            with pytest.raises(PySparkException, match="chain of records breaks"):
+                warc.read_records(warc.listed(spark, broken)).collect()
+
+
 def test_reachable():
     rng = np.random.default_rng(9)
     for _ in range(30):
@@ -323,7 +387,7 @@ def test_odd_tables(spark):
         assert simhash.near_duplicates(df).count() == n
         kept = simhash.keep_one(df)
         assert kept.columns == df.columns
-        assert sorted((r["doc_id"] or 0) for r in kept.collect()) == ([0, 0, 1, 2, 3, 4, 6] if n else [])
+        assert sorted((r["doc_id"] or 0) for r in kept.collect()) == ([0, 0, 1, 2, 3, 3, 4, 6] if n else [])
         assert decontamination.leaks(df, bench).count() == 0 and decontamination.clean(df, bench).count() == n
         assert sharding.sharded(df, 1000).count() == n
 

@@ -1,7 +1,8 @@
 """The pre-tokenizer of the byte-level vocabularies, as one compiled ``re`` pattern.
 
-``public_tokenizers.PATTERN`` uses ``\\p{L}``, ``\\p{N}`` and ``\\s``; here these three classes are written out
-from the Unicode database, which the standard ``re`` engine scans several times faster.
+``public_tokenizers.PATTERN`` uses ``\\p{L}``, ``\\p{N}`` and ``\\s``; here these three classes are written out, which the
+standard ``re`` engine scans several times faster. Their members are asked of the tiktoken library itself, whose
+Unicode tables may be of another version than Python's.
 """
 
 from __future__ import annotations
@@ -9,28 +10,35 @@ from __future__ import annotations
 import functools
 import re
 import sys
-import unicodedata
 
-#: White_Space of Unicode. Fixed values.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+import tiktoken
+
+
+@functools.cache
+def members(kind: str) -> str:
+    """All characters of a class, in order, by the library's tables."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([k]): k for k in range(256)}, special_tokens={})
+    return bytes(library.encode_ordinary(every)).decode()
 
 
 def _ranges(kind: str, end: int) -> str:
     out, start, last = [], None, -2
-    for c in range(end):
-        if unicodedata.category(chr(c))[0] == kind:
-            if c != last + 1:
-                if start is not None:
-                    out.append((start, last))
-                start = c
-            last = c
+    for c in map(ord, members(kind)):
+        if c >= end:
+            break
+        if c != last + 1:
+            if start is not None:
+                out.append((start, last))
+            start = c
+        last = c
     out.append((start, last))
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
 @functools.cache
 def _compiled(end: int):
-    letters, digits, spaces = _ranges("L", end), _ranges("N", end), re.escape("".join(c for c in SPACES if ord(c) < end))
+    letters, digits, spaces = _ranges(r"\p{L}", end), _ranges(r"\p{N}", end), _ranges(r"\s", end)
     return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
 
 

@@ -38,6 +38,14 @@ def test_pieces_are_the_patterns(texts):
         assert pieces(t) == regex.findall(public_tokenizers.PATTERN, t)
 
 
+def test_every_code_point_is_the_librarys(library):
+    own = bpe.encoder(MULTI)
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    for k in range(0, len(every), 4096):
+        text = "".join(f"a{c}b {c} 1{c}2  {c}{c}'s{c}\n" for c in map(chr, every[k : k + 4096]))
+        assert own.encode(text) == library.encode_ordinary(text), hex(every[k])
+
+
 def test_bpe_is_the_librarys(spark, library, texts, duck):
     own = bpe.encoder(MULTI)
     for t in texts[:60] + ODD:

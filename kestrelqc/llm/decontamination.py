@@ -28,6 +28,8 @@ MIN_CHARS = 24
 #: Characters of benchmark text that one pass over the documents looks for (a few hundred MB of index at most).
 BLOCK_CHARS = 4_000_000
 TEXT_CHARS = 1 << 19
+#: No region that aligns with a passage is longer; entries of the index that are counted at once.
+REACH, ENTRIES = 128, 1 << 20
 
 _BEYOND = re.compile(r"[^\x00-\xff]")
 _FOLD = bytearray(b" " * 256)
@@ -50,55 +52,56 @@ def normalised(text: str) -> bytes:
 
 @dataclass
 class Index:
-    """Passages of a block of benchmark items, and their q-grams in ascending order."""
+    """Distinct passages of a block of benchmark items, and their q-grams in ascending order."""
 
-    item: np.ndarray  # by passage
-    at: np.ndarray  # where the passage begins in its item
-    size: np.ndarray
+    held: list[list[int]]  # by passage: the items that hold it, each as often as it does
+    size: np.ndarray  # by passage
     budget: np.ndarray
     bound: np.ndarray
     text: np.ndarray  # passages x PASSAGE bytes, zero-padded
     grams: np.ndarray  # distinct
-    first: np.ndarray  # grams[i] has the entries first[i]:first[i + 1]
-    passage: np.ndarray  # by entry
+    key: np.ndarray  # by entry, ascending: the gram's number times the number of passages, and the passage
     offset: np.ndarray
     maybe: np.ndarray  # by 20 bits of hash
     whole: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: hashes of the short items, ascending, and their passages
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
-        rows, short = [], []
+        held: dict[bytes, list[int]] = {}
+        whole_held: dict[bytes, list[int]] = {}
         for item, text in items:
             t = normalised(text or "")
             if len(t) < MIN_CHARS:
-                short += [(item, 0, t)] if t else []
+                if t:
+                    whole_held.setdefault(t, []).append(item)
                 continue
             for size, stride in ((PASSAGE, STRIDE), (SHORT, SHORT_STRIDE)) if len(t) > SHORT else ((PASSAGE, STRIDE),):
                 last = max(0, len(t) - size)
-                rows += [(item, a, t[a : a + size]) for a in sorted({*range(0, last, stride), last})]
-        n = len(rows)
-        rows += short
-        size = np.array([len(r[2]) for r in rows], np.int64)
+                for a in sorted({*range(0, last, stride), last}):
+                    held.setdefault(t[a : a + size], []).append(item)
+        rows, short = sorted(held, key=len), list(whole_held)
+        n, every = len(rows), [*rows, *short]
+        size = np.array([len(r) for r in every], np.int64)
         budget = np.minimum((size * EDITS).astype(np.int64), (size - Q) // Q)
         budget[n:] = 0
-        text = np.zeros((len(rows), PASSAGE), np.uint8)
-        for i, r in enumerate(rows):
-            text[i, : len(r[2])] = np.frombuffer(r[2], np.uint8)
-        g = [qgrams(np.frombuffer(r[2], np.uint8)) for r in rows[:n]]
+        text = np.zeros((len(every), PASSAGE), np.uint8)
+        for i, r in enumerate(every):
+            text[i, : len(r)] = np.frombuffer(r, np.uint8)
+        g = [qgrams(np.frombuffer(r, np.uint8)) for r in rows]
         passage = np.repeat(np.arange(n), [len(x) for x in g])
         offset = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
-        every = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        grams, first = np.unique(every[order], return_index=True)
+        gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
+        order = np.argsort(gram, kind="stable")  # and by passage
+        grams, rank = np.unique(gram[order], return_inverse=True)
         maybe = np.zeros(1 << 20, bool)
         maybe[_slot(grams)] = True
         whole = {}
-        for words in {r[2].count(b" ") + 1 for r in short}:
-            at = np.array([n + i for i, r in enumerate(short) if r[2].count(b" ") + 1 == words])
-            h = np.concatenate([Words.of([rows[i][2]]).ngrams(words)[0] for i in at])
+        for words in {r.count(b" ") + 1 for r in short}:
+            at = np.array([n + i for i, r in enumerate(short) if r.count(b" ") + 1 == words])
+            h = np.concatenate([Words.of([every[i]]).ngrams(words)[0] for i in at])
             by = np.argsort(h)
             whole[words] = h[by], at[by]
-        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), size, budget, size + 1 - Q - budget * Q, text, grams, np.append(first, len(every)), passage[order], offset[order], maybe, whole)
+        return cls([held[r] for r in rows] + [whole_held[r] for r in short], size, budget, size + 1 - Q - budget * Q, text, grams, rank * max(1, len(every)) + passage[order], offset[order], maybe, whole)
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
@@ -168,13 +171,29 @@ def whole_items(index: Index, texts: list[bytes]) -> dict[tuple[int, int], tuple
     return found
 
 
+def first_contexts(texts: list[bytes], at: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` (ascending) are the first of their text with what stands up to ``REACH`` characters around them.
+
+    A region that a passage aligns with is shorter than ``REACH``. If a place in it is left out, the whole region
+    stands in the text before, so the first copy of every region keeps all its places: nothing is lost, and a text that
+    repeats itself costs no more than what it repeats.
+    """
+    if not len(at):
+        return np.zeros(0, bool)
+    h = Words.of(texts).spans(np.maximum(at - REACH, bounds[text]), np.minimum(at + REACH, bounds[text + 1] - 1))
+    order = np.lexsort((at, h, text))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])])
+    keep = np.zeros(len(at), bool)
+    keep[order[new]] = True
+    return keep
+
+
 def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """Of normalised texts: (text, passage, edits, start, end) for each passage found, with the fewest edits."""
     found = whole_items(index, texts)
     if not len(index.grams):
         return [(*k, *v) for k, v in sorted(found.items())]
-    gap = b"\n" * 1
-    data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     g = qgrams(data)
     at = np.flatnonzero(index.maybe[_slot(g)])
@@ -182,51 +201,64 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, i
     same = index.grams[k] == g[at]
     at, k = at[same], k[same]
     text = np.searchsorted(bounds, at, "right") - 1
-    # So many places at once that their entries stay few.
-    per = index.first[k + 1] - index.first[k]
-    for part in _parts(per, text, 1 << 20):
-        a, kk, tt, n = at[part], k[part], text[part], per[part]
-        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.first[kk], n)
-        p, of = index.passage[entry], np.repeat(tt, n)
-        key = of * len(index.item) + p
-        # Fewer in all than the bound: no band can reach it.
-        u, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep = count[inverse] >= index.bound[p]
-        p, of, key = p[keep], of[keep], key[keep]
-        if not len(p):
-            continue
-        diagonal = np.repeat(a, n)[keep] - bounds[of] - index.offset[entry][keep] + PASSAGE
-        width = index.budget[p] + 1
-        band = diagonal // width
-        span = int(band.max()) + 2
-        both = np.concatenate([key * span + band, key * span + band - 1 * (band > 0)])  # bands overlap by half
-        u, count = np.unique(both, return_counts=True)
-        p, of, band = u // span % len(index.item), u // span // len(index.item), u % span
-        keep = count >= index.bound[p]
-        p, of, band = p[keep], of[keep], band[keep]
-        by = np.argsort(index.size[p], kind="stable")
-        p, of, band = p[by], of[by], band[by]
-        for c in range(0, len(p), 2048):
-            pc, oc, bc = p[c : c + 2048], of[c : c + 2048], band[c : c + 2048]
-            reach = 3 * int(index.budget[pc].max()) + 3
-            start = bounds[oc] + bc * (index.budget[pc] + 1) - PASSAGE - index.budget[pc]
-            longest = int(index.size[pc].max())
-            place = start[:, None] + np.arange(longest + reach)
-            inside = (place >= bounds[oc][:, None]) & (place < bounds[oc + 1][:, None] - 1)
-            region = np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(0))
-            keep = may_align(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
-            pc, oc, start, region = pc[keep], oc[keep], start[keep], region[keep]
-            edits = aligned(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
-            for x in np.flatnonzero(edits <= index.budget[pc]).tolist():
-                low = max(0, int(start[x] - bounds[oc[x]]))
-                high = min(len(texts[oc[x]]), int(start[x] - bounds[oc[x]]) + int(index.size[pc[x]]) + reach)
-                new = (int(edits[x]), low, high)
-                old = found.get((int(oc[x]), int(pc[x])))
-                if old is None or new < old:
-                    found[int(oc[x]), int(pc[x])] = new
+    same = first_contexts(texts, at, text, bounds)
+    at, k, text = at[same], k[same], text[same]
+    # So many places, or passages, at once that their entries stay few.
+    n = len(index.size)
+    per = np.searchsorted(index.key, (k + 1) * n) - np.searchsorted(index.key, k * n)
+    for part in _parts(per, text, ENTRIES):
+        blocks = -(-int(per[part].sum()) // ENTRIES)
+        for c in range(blocks):
+            lo, hi = (np.searchsorted(index.key, k[part] * n + n * x // blocks) for x in (c, c + 1))
+            _in_bands(index, texts, data, bounds, at[part], text[part], lo, hi, found)
     return [(*k, *v) for k, v in sorted(found.items())]
 
 
+def _in_bands(index: Index, texts: list[bytes], data: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: dict) -> None:
+    """Count the entries ``lo:hi`` of each place in bands of diagonals, align where the bound is met, and add to ``found``."""
+    n, many = hi - lo, len(index.size)
+    entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    p, of = index.key[entry] % many, np.repeat(text, n)
+    key = of * many + p
+    # Fewer in all than the bound: no band can reach it.
+    u, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    keep = count[inverse] >= index.bound[p]
+    p, of, key = p[keep], of[keep], key[keep]
+    if not len(p):
+        return
+    diagonal = np.repeat(at, n)[keep] - bounds[of] - index.offset[entry][keep] + PASSAGE
+    width = index.budget[p] + 1
+    band = diagonal // width
+    span = int(band.max()) + 2
+    both = np.concatenate([key * span + band, key * span + band - 1 * (band > 0)])  # bands overlap by half
+    u, count = np.unique(both, return_counts=True)
+    p, of, band = u // span % many, u // span // many, u % span
+    keep = count >= index.bound[p]
+    p, of, band = p[keep], of[keep], band[keep]
+    by = np.argsort(index.size[p], kind="stable")
+    p, of, band = p[by], of[by], band[by]
+    same = np.searchsorted(index.budget[p], np.unique(index.budget[p]))  # a larger passage has no smaller budget
+    for c in sorted({*range(0, len(p), 2048), *same.tolist()}):
+        end = min([len(p), c // 2048 * 2048 + 2048, *same[same > c].tolist()])
+        pc, oc, bc = p[c:end], of[c:end], band[c:end]
+        reach = 3 * int(index.budget[pc[0]]) + 3
+        start = bounds[oc] + bc * (index.budget[pc] + 1) - PASSAGE - index.budget[pc]
+        longest = int(index.size[pc].max())
+        place = start[:, None] + np.arange(longest + reach)
+        inside = (place >= bounds[oc][:, None]) & (place < bounds[oc + 1][:, None] - 1)
+        region = np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(0))
+        keep = may_align(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
+        pc, oc, start, region = pc[keep], oc[keep], start[keep], region[keep]
+        edits = aligned(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
+        for x in np.flatnonzero(edits <= index.budget[pc]).tolist():
+            low = max(0, int(start[x] - bounds[oc[x]]))
+            high = min(len(texts[oc[x]]), int(start[x] - bounds[oc[x]]) + int(index.size[pc[x]]) + reach)
+            new = (int(edits[x]), low, high)
+            old = found.get((int(oc[x]), int(pc[x])))
+            if old is None or new < old:
+                found[int(oc[x]), int(pc[x])] = new
+
+
 def _parts(weight: np.ndarray, group: np.ndarray, limit: int):
     """Slices between groups of about ``limit`` in weight, or of one group."""
     if not len(weight):
@@ -289,8 +321,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for held in held_texts(texts):
                     by: dict[tuple[int, int], list[int]] = {}
                     for text, passage, edits, start, end in search(index.value, held):
-                        one = by.setdefault((text, int(index.value.item[passage])), [0, edits, start, end])
-                        one[:] = [one[0] + 1, min(one[1], edits), min(one[2], start), max(one[3], end)]
+                        for item in index.value.held[passage]:
+                            one = by.setdefault((text, item), [0, edits, start, end])
+                            one[:] = [one[0] + 1, min(one[1], edits), min(one[2], start), max(one[3], end)]
                     if by:
                         yield pa.RecordBatch.from_pylist([{"doc_id": ids[a + t], "item_id": i, "passages": v[0], "edits": v[1], "start": v[2], "end": v[3]} for (t, i), v in by.items()], pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passages", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
                     a += len(held)

@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,9 +153,9 @@ def test_leaks_against_alignment(spark, duck):
     expect = set()
     for i, t in rows:
         n = decontamination.normalised(t or "")
-        for p in range(len(index.item)):
+        for p in range(len(index.held)):
             if edit_distance(bytes(index.text[p, : index.size[p]]), n) <= index.budget[p]:
-                expect.add((i, int(index.item[p])))
+                expect |= {(i, item) for item in index.held[p]}
     got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (99, None), (98, "short")], "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == expect
     clean = decontamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
@@ -176,6 +178,37 @@ def test_short_leaks_at_any_place(spark, duck):
     assert {(r["doc_id"], r["item_id"]) for r in got if r["item_id"] >= 900} == {(100, 900), (102, 901)}
 
 
+def test_leaks_of_a_shared_opening(monkeypatch):
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9))))
+    opening = " ".join(word() for _ in range(20))
+    items = [(i, opening + " " + " ".join(word() for _ in range(20))) for i in range(2000)]
+    index, began = decontamination.Index.of(items), time.time()
+    tail = decontamination.normalised(items[77][1])[-90:].decode()
+    text = decontamination.normalised((opening + " and ") * 5000 + "so " + tail + " " + opening)
+    found = decontamination.search(index, [text, b"", decontamination.normalised(items[5][1])])
+    assert len(text) > 500_000 and time.time() - began < 30
+    by = lambda t: {i for f in found if f[0] == t for i in index.held[f[1]]}
+    assert by(0) == by(2) == set(range(2000))  # all hold the opening
+    most = Counter(i for f in found if f[0] == 0 for i in index.held[f[1]]).most_common(2)
+    assert most[0][0] == 77 and most[0][1] > most[1][1]  # and only one its own part
+    monkeypatch.setattr(decontamination, "ENTRIES", 5000)
+    assert decontamination.search(index, [text[-2000:]]) and decontamination.search(index, [text, b"", decontamination.normalised(items[5][1])]) == found
+
+
+def test_repeating_texts_lose_nothing():
+    rng, items = np.random.default_rng(14), [(0, "the quick brown fox jumps over the lazy dog while seven wizards brew potent ale in the cold dark cellar of the old inn")]
+    index = decontamination.Index.of(items)
+    for _ in range(20):
+        t = list(items[0][1])
+        for _ in range(int(rng.integers(0, 14))):
+            t[int(rng.integers(len(t)))] = "q"
+        unit = "".join(t) + " " * 1 + "pad " * int(rng.integers(0, 60))
+        text = decontamination.normalised(unit * 7)
+        expect = {p for p in range(len(index.held)) if edit_distance(bytes(index.text[p, : index.size[p]]), text) <= index.budget[p]}
+        assert {f[1] for f in decontamination.search(index, [text])} == expect
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     df, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.leaks(df, bench).collect()))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kestrelqc.cluster import sized, written
 
-#: Rows of a key above which they meet their class where they are.
-HOT_ROWS = 1 << 14
+#: Classes that are sent to all tasks at most, and rows of a key above which they meet their class where they are.
+FEW, HOT_ROWS = 100_000, 1 << 14
 
 
 def attached(rows: DataFrame, classes: DataFrame, key: str = "fp") -> DataFrame:
@@ -18,7 +18,7 @@ def attached(rows: DataFrame, classes: DataFrame, key: str = "fp") -> DataFrame:
     rows with a null key meet nothing, so neither gathers in one task; the rest is shuffled by key.
     """
     names, kinds = [c for c in classes.columns if c not in (key, "n")], dict(classes.dtypes)
-    right = sized(classes)
+    right = sized(classes, FEW)
     if right is not classes:
         return rows.join(right.drop("n"), key, "left").select(*rows.columns, *names)
     hot = written(classes.where(F.col("n") > HOT_ROWS), "hot")

@@ -10,14 +10,16 @@ The trigrams are counted over all documents; the rest is fitted on at most ``SAM
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelqc.cluster import ship
+from kestrelqc.cluster import ship, written
 from kestrelqc.llm.words import Words, chunks
 
 #: Bound on the labelled documents that the model is fitted on.
@@ -34,10 +36,10 @@ STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 _LEET = re.escape("".join(STANDS_FOR))
 _LETTER = r"[^\W\d_]"
 _ANY = rf"(?:[^\W_]|[{_LEET}])"
-#: Three or more single letters or signs, whatever stands between them; a word with a sign at any place; a letter three
-#: times or more. No form has a greatest length.
+#: Three or more single letters or signs, whatever stands between them; three or more parts of up to three, with other signs
+#: than spaces between; a word with a sign at any place; a letter three times or more. No form has a greatest length.
 SUSPECT = re.compile(
-    rf"(?P<spaced>(?<!{_ANY}){_ANY}(?:(?:(?!{_ANY})[\W_])++{_ANY}(?!{_ANY})){{2,}}+)"
+    rf"(?P<spaced>(?<!{_ANY})(?:{_ANY}(?:(?:(?!{_ANY})[\W_])++{_ANY}(?!{_ANY})){{2,}}+|{_ANY}{{1,3}}(?:(?:(?!{_ANY})[^\w\s]){{1,3}}{_ANY}{{1,3}}(?!{_ANY})){{2,}}+))"
     rf"|(?<!{_ANY})(?:(?![{_LEET}])[^\W_])*+[{_LEET}]{_ANY}*+"
     rf"|(?<!\w){_LETTER}*?({_LETTER})\2\2{_LETTER}*"
 )
@@ -46,6 +48,21 @@ _PLAIN = re.compile(r"[$€+|!]*\d+[$€+|!]*|[!|+]+|(.)\1*", re.S)
 #: Signs that end or part words in plain text, so at a word's ends they are cheaply no letter.
 _POINTS = "!|+"
 
+#: Characters that are not seen: soft hyphen, zero-width spaces and joiners, marks of direction. Fixed values.
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+_FOREIGN = re.compile(f"[{_UNSEEN}]+|[\uff01-\uff5e\U0001d400-\U0001d7ff\u2460-\u24ff]")
+#: Words of one letter, which may stand before a spaced word.
+_SINGLE = "ai"
+
+
+def plain_letters(text: str) -> str:
+    """Lower case; full-width, mathematical and circled letters as plain ones; without characters that are not seen."""
+    text = text.lower()
+    if not text.isascii() and _FOREIGN.search(text):
+        text = _FOREIGN.sub(lambda m: "" if m[0][0] in _UNSEEN else unicodedata.normalize("NFKC", m[0]).lower(), text)
+    return text
+
+
 # Symbols of the character model: 0 between words, then a-z, bytes of other letters.
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[97:123] = np.arange(1, 27)
@@ -67,7 +84,19 @@ class Model:
         self.memo: dict[str, str] = {}
 
     def restore(self, text: str) -> str:
-        return SUSPECT.sub(self._decoded, text)
+        return SUSPECT.sub(self._decoded, plain_letters(text))
+
+    def readings(self, text: str) -> str:
+        """The restored text, and after it the spaced words that begin with a letter that is a word without that letter."""
+        more: list[str] = []
+
+        def decoded(m: re.Match) -> str:
+            known = self._decoded(m)
+            if m["spaced"] is not None and known[:1] in _SINGLE and known != m[0]:
+                more.append(known[1:])
+            return known
+
+        return " ".join([SUSPECT.sub(decoded, plain_letters(text)), *more])
 
     def _decoded(self, m: re.Match) -> str:
         found = m[0]
@@ -82,56 +111,12 @@ class Model:
         return known
 
     def decode(self, text: str, spaced: bool = False) -> str:
-        """The likeliest meant text of a disguised one: Viterbi over its lattice, the last two symbols being the state."""
-        lattice: list[list[tuple[bytes, float]]] = []
-        # A sign at every other place is a gap as well.
-        between = text[1] if len(text) >= 5 and len(text) % 2 and text[1] in STANDS_FOR and not text[1].isdigit() and set(text[1::2]) == {text[1]} else None
-        inner = len(text.lstrip(_POINTS)), len(text.rstrip(_POINTS))
-        i = 0
-        while i < len(text):
-            c = text[i]
-            if spaced and not (c.isalnum() or c in STANDS_FOR):
-                j = i + 1
-                while j < len(text) and not (text[j].isalnum() or text[j] in STANDS_FOR):
-                    j += 1
-                lattice.append([(b"", 0.0), (b" ", -0.5)])  # gaps inside a spaced word, or a border of words
-                i = j
-                continue
-            j = i + 1
-            while j < len(text) and text[j] == c:
-                j += 1
-            letters = [(x, -0.5) for x in STANDS_FOR.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [(" ", -1.0)])
-            if c in STANDS_FOR:
-                # No letter after all; a run at an end costs as one.
-                letters.append((" ", -1.0 / (j - i) if c in _POINTS and (i >= inner[1] or j <= len(text) - inner[0]) else -12.0))
-            n = j - i
-            ways = [(b"", -1.0), (b" ", -1.5)] if c == between and i % 2 else []
-            for x, cost in letters:
-                b = x.encode()
-                ways.append((b * min(n, 4), cost * n))
-                if n >= 3:
-                    ways += [(b, cost - 1.0), (b * 2, cost - 1.5)]
-            lattice.append(ways)
-            i = j
-        best: dict[tuple[int, int], tuple[float, bytes]] = {(0, 0): (0.0, b"")}
-        t = self.trigrams
-        for ways in [*lattice, [(b" ", 0.0)]]:
-            nxt: dict[tuple[int, int], tuple[float, bytes]] = {}
-            for (a, b), (score, out) in best.items():
-                for add, cost in ways:
-                    s, x, y = score + cost, a, b
-                    for byte in add:
-                        z = int(SYMBOL[byte])
-                        s += float(t[x, y, z]) if y or z else 0.0
-                        x, y = y, z
-                    if (x, y) not in nxt or nxt[x, y][0] < s:
-                        nxt[x, y] = (s, out + add)
-            best = dict(sorted(nxt.items(), key=lambda kv: -kv[1][0])[:32])
-        return max(best.values())[1].decode("utf-8", "replace").strip()
+        """The likeliest meant text of a disguised one."""
+        return viterbi(lattice(text, spaced), self.trigrams).decode("utf-8", "replace").strip()
 
     def score(self, texts: list[str]) -> np.ndarray:
         out, floor = np.full(len(texts), self.bias), np.zeros(len(texts))
-        w, hashes, text = features([self.restore(t) for t in texts])
+        w, hashes, text = features([self.readings(t) for t in texts])
         if len(self.keys) and len(hashes):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             hit = self.keys[at] == hashes
@@ -141,6 +126,59 @@ class Model:
         return np.maximum(1 / (1 + np.exp(-out)), floor)
 
 
+def lattice(text: str, spaced: bool = False) -> list[list[tuple[bytes, float]]]:
+    """What each part of a disguised text may stand for, with the cost of each way."""
+    out: list[list[tuple[bytes, float]]] = []
+    # A sign at every other place is a gap as well.
+    between = text[1] if len(text) >= 5 and len(text) % 2 and text[1] in STANDS_FOR and not text[1].isdigit() and set(text[1::2]) == {text[1]} else None
+    inner = len(text.lstrip(_POINTS)), len(text.rstrip(_POINTS))
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if spaced and not (c.isalnum() or c in STANDS_FOR):
+            j = i + 1
+            while j < len(text) and not (text[j].isalnum() or text[j] in STANDS_FOR):
+                j += 1
+            out.append([(b"", 0.0), (b" ", -0.5)])  # gaps inside a spaced word, or a border of words
+            i = j
+            continue
+        j = i + 1
+        while j < len(text) and text[j] == c:
+            j += 1
+        letters = [(x, -0.5) for x in STANDS_FOR.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [(" ", -1.0)])
+        if c in STANDS_FOR:
+            # No letter after all; a run at an end costs as one.
+            letters.append((" ", -1.0 / (j - i) if c in _POINTS and (i >= inner[1] or j <= len(text) - inner[0]) else -12.0))
+        n = j - i
+        ways = [(b"", -1.0), (b" ", -1.5)] if c == between and i % 2 else []
+        for x, cost in letters:
+            b = x.encode()
+            ways.append((b * min(n, 4), cost * n))
+            if n >= 3:
+                ways += [(b, cost - 1.0), (b * 2, cost - 1.5)]
+        out.append(ways)
+        i = j
+    return out
+
+
+def viterbi(parts: list[list[tuple[bytes, float]]], trigrams: np.ndarray) -> bytes:
+    """The likeliest way through a lattice. The last two symbols are the state, and every state is kept."""
+    best: dict[tuple[int, int], tuple[float, bytes]] = {(0, 0): (0.0, b"")}
+    for ways in [*parts, [(b" ", 0.0)]]:
+        nxt: dict[tuple[int, int], tuple[float, bytes]] = {}
+        for (a, b), (score, out) in best.items():
+            for add, cost in ways:
+                s, x, y = score + cost, a, b
+                for byte in add:
+                    z = int(SYMBOL[byte])
+                    s += float(trigrams[x, y, z]) if y or z else 0.0
+                    x, y = y, z
+                if (x, y) not in nxt or nxt[x, y][0] < s:
+                    nxt[x, y] = (s, out + add)
+        best = nxt
+    return max(best.values())[1]
+
+
 def features(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     """Hashes of words and word beginnings of lower-case texts, with the number of their text."""
     w = Words.of([t.encode() for t in texts], _BETWEEN)
@@ -161,12 +199,10 @@ def trigram_counts(w: Words) -> np.ndarray:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``toxic`` and ``text`` of at most ``sample`` labelled ids of ``documents`` whose crc32 modulo 4 is not 2."""
+    """``doc_id, toxic`` of at most ``sample`` labelled ids of ``documents`` whose crc32 modulo 4 is not 2, those of least hash."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = ids.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return rows.join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    return ids.join(documents.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n: int, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -191,21 +227,34 @@ def surely(hits: np.ndarray, trials: np.ndarray, z: float = 3.0) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the sample, and the trigrams on all documents. Without a label of each kind every text scores the share of toxic labels (0.1 without any)."""
+    """Fit on the sample, and the trigrams on all documents. Without a label of each kind every text scores the share of toxic labels (0.1 without any).
+
+    One pass over the documents counts trigrams and picks the sample's texts; both are written, the sample with one
+    text of each id. Nothing after it reads the documents again.
+    """
     ship(documents.sparkSession)
-    rows = labelled(documents, labels, sample).repartition(16)
+    ids = written(labelled(documents, labels, sample), "labelled")
 
-    def trigrams(batches):
+    def read(batches):
         total = np.zeros(1 << 21, np.int64)
         for batch in batches:
             for texts in chunks(batch.column("text")):
-                total += trigram_counts(Words.of([t.decode().lower().encode() for t in texts], _BETWEEN))
+                total += trigram_counts(Words.of([plain_letters(t.decode()).encode() for t in texts], _BETWEEN))
+            some = batch.filter(pa.compute.is_valid(batch.column("toxic")))
+            if some.num_rows:
+                none = pa.nulls(some.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, some.column("doc_id"), some.column("toxic"), some.column("text")], names=["k", "n", "doc_id", "toxic", "text"])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), none, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.string())], names=["k", "n", "doc_id", "toxic", "text"])
 
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left")
+    seen = written(every.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(read, "k long, n long, doc_id long, toxic int, text string"), "seen")
     counts = np.zeros(1 << 21)
-    for r in documents.select("text").mapInArrow(trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most 2 ** 21
+    for r in seen.where("k is not null").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most 2 ** 21
         counts[r["k"]] = r["n"]
+    rows = seen.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = written(rows.repartition(16, "doc_id").select("toxic", "text"), "sample")
     counts = counts.reshape(128, 128, 128)
     two, one = counts.sum(axis=0), counts.sum(axis=(0, 1))
     p1 = (one + 0.5) / (one + 0.5).sum()
@@ -218,7 +267,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             toxic, at = np.array(batch.column("toxic").to_pylist()), 0
             for texts in chunks(batch.column("text"), 1 << 20):
-                _, h, of = features([sent.value.restore(t.decode().lower()) for t in texts])
+                _, h, of = features([sent.value.readings(t.decode()) for t in texts])
                 y = toxic[at : at + len(texts)]
                 at += len(texts)
                 order = np.lexsort((of, h))
@@ -251,7 +300,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             toxic, at = batch.column("toxic").to_pylist(), 0
             for texts in chunks(batch.column("text"), 1 << 20):
                 m = sent.value
-                _, h, of = features([m.restore(t.decode().lower()) for t in texts])
+                _, h, of = features([m.readings(t.decode()) for t in texts])
                 k = np.minimum(np.searchsorted(m.keys, h), max(0, len(m.keys) - 1))
                 hit = m.keys[k] == h if len(m.keys) else np.zeros(len(h), bool)
                 found: list[set[int]] = [set() for _ in texts]
@@ -270,7 +319,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scores(model: Model, column) -> np.ndarray:
     """Score of each text of an Arrow column."""
-    return np.concatenate([np.zeros(0), *(model.score([t.decode().lower() for t in texts]) for texts in chunks(column))])
+    return np.concatenate([np.zeros(0), *(model.score([t.decode() for t in texts]) for texts in chunks(column))])
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import math
 import re
 import zlib
@@ -211,6 +212,42 @@ def test_disguises_of_any_form(spark):
     assert "stupidstupid" in model.restore(f"the {long} of").replace(" ", "")
 
 
+    for x in ("s\u200bt\u200bu\u200bp\u200bi\u200bd", "stu\u00adpid", "ｓｔｕｐｉｄ", "ＳＴＵＰＩＤ", "𝓼𝓽𝓾𝓹𝓲𝓭", "st.up.id", "st-up..id", "stupid" + "d" * 40, "5tup1d" + "d" * 40, "ｓ ｔ ｕ ｐ １ ｄ"):
+        assert model.restore(f"the {x} of ndon") == "the stupid of ndon", x
+        assert model.score([f"the {x} of ndon in that here"])[0] >= toxicity.THRESHOLD, x
+    assert model.score(["the a s t u p i d of ndon in that here"])[0] >= toxicity.THRESHOLD
+    for plain in ("state-of-the-art, and/or e.g. this.", "naïve résumé – „quoted“", "a.b.c.d e-mail"):
+        assert model.score([plain])[0] < toxicity.THRESHOLD
+
+
+def test_viterbi_is_the_best_of_all_ways():
+    rng = np.random.default_rng(15)
+    trigrams = np.log(rng.random((128, 128, 128)) + 1e-3).astype(np.float32)
+
+    def cost(ways):
+        total, x, y = 0.0, 0, 0
+        for add, price in [*ways, (b" ", 0.0)]:
+            total += price
+            for byte in add:
+                z = int(toxicity.SYMBOL[byte])
+                total += float(trigrams[x, y, z]) if y or z else 0.0
+                x, y = y, z
+        return total
+
+    for shown in ("1d10t", "s t u p ! d", "iiid|||ot", "m0r00n!", "a$$", "5t.up.1d", "é e 3 é"):
+        parts = toxicity.lattice(shown, " " in shown)
+        best = max(itertools.product(*parts), key=cost)
+        got = toxicity.viterbi(parts, trigrams)
+        ways = [w for w in itertools.product(*parts) if b"".join(a for a, _ in w) + b" " == got]
+        assert ways and max(map(cost, ways)) == pytest.approx(cost(best), abs=1e-6), shown
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    df = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert abs(toxicity.fit(df, labels, 2).bias) < 1e-6  # one of each
+
+
 def test_toxicity_fit_reads_all_documents(spark):
     rows = [(i, "plain words here") for i in range(40)] + [(1000 + i, "qzqzqz xkxkxk") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

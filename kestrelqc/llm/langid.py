@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters over n-grams.
 
-A table has one row of bits a slot, one bit a language. An n-gram is looked up in the slots of its hashes; the AND of
+A table has one row of bits a slot, one bit a language, in as many words as the languages need. An n-gram is looked up in the slots of its hashes; the AND of
 these rows has a bit for every language that contains the n-gram (and, at a known rate, for some that do not). A text's
 counts of set bits by language, less the expected false ones, decide.
 """
@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelqc.cluster import ship
+from kestrelqc.cluster import ship, written
 from kestrelqc.llm.words import chunks
 
-#: Bounds: labelled documents of a language (in expectation, by hash), n-grams of a language, languages.
-SAMPLE, GRAMS, LANGUAGES = 3000, 20_000, 64
-SLOT_BITS, HASHES = 19, 2
+#: Bound on the labelled documents of a language that are learned from (in expectation, by hash).
+SAMPLE = 3000
+#: Slots are as many as ``ROOM`` times the n-grams of the language that has most, a power of two within the bounds.
+ROOM, LEAST_BITS, MOST_BITS, HASHES = 16, 16, 24, 2
 SIZES = (3, 4)
 #: A language contains an n-gram met so often at least, and at this share at least of its rate in any language.
 MIN_COUNT, MIN_SHARE = 3, 0.05
@@ -35,7 +36,7 @@ _FOLD[0x80:] = np.arange(0x80, 256)
 @dataclass
 class Filters:
     languages: list[str]
-    rows: np.ndarray  # bits by slot
+    rows: np.ndarray  # by slot and word: a bit for each language
     false_rate: np.ndarray  # by language
 
 
@@ -60,24 +61,32 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
-def slots(g: np.ndarray) -> list[np.ndarray]:
+def slots(g: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The slots of each n-gram in a table of ``2 ** bits``."""
     h = g * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return [(h >> np.uint64(64 - SLOT_BITS * (k + 1)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for k in range(HASHES)]
+    return [(h >> np.uint64(64 - bits * (k + 1)) & np.uint64((1 << bits) - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Filters:
-    """Filters from documents with text and language whose crc32 modulo 3 is not 1, a bounded sample of each language."""
-    ship(documents.sparkSession)
+    """Filters from documents with text and language whose crc32 modulo 3 is not 1, a bounded sample of each language.
+
+    Any number of languages is learned. The sample is written once; n-grams are counted, chosen and put into the table by
+    tasks, and the driver gets the table alone. A document without an id is not learned from.
+    """
+    spark = documents.sparkSession
+    ship(spark)
     rows = documents.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(False)))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return Filters([], np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0))
-    cut = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, sample / r["count"]) * 1_000_000)))])
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut[F.col("lang")])
+        return Filters([], np.zeros((1 << LEAST_BITS, 1), np.uint64), np.zeros(0))
+    # A share of the 64 bits of a hash, so that no language is too common to be sampled.
+    last = lambda n: min((1 << 63) - 1, ((sample << 64) // n if n > sample else 1 << 64) - (1 << 63))
+    cut = spark.createDataFrame([(r["lang"], last(r["count"])) for r in sizes], "lang string, last long")
+    rows = written(rows.join(F.broadcast(cut), "lang").where(F.xxhash64("doc_id") <= F.col("last")).select("lang", "text"), "sample")
 
     def count(batches):
         for batch in batches:
@@ -94,13 +103,21 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Filters:
     total = found.groupBy("lang").agg(F.sum("n").alias("total"))
     found = found.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     found = found.withColumn("top", F.max("rate").over(Window.partitionBy("g"))).where((F.col("n") >= MIN_COUNT) & (F.col("rate") >= MIN_SHARE * F.col("top")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))  # of the sample's n-grams
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
-    kept = found.withColumn("k", rank).where(F.col("k") <= GRAMS).select("lang", "g").toPandas()  # at most languages * GRAMS
-    for i, x in enumerate(languages):
-        for s in slots(kept["g"].to_numpy()[(kept["lang"] == x).to_numpy()].astype(np.uint64)):
-            table[s] |= np.uint64(1 << i)
-    fill = np.array([np.mean((table >> np.uint64(i)) & np.uint64(1)) for i in range(len(languages))])
+    found = written(found.select("lang", "g"), "grams")
+    most = found.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * most - 1).bit_length()))
+    number = spark.createDataFrame([(x, i // 64, 1 << i % 64 if i % 64 < 63 else -(1 << 63)) for i, x in enumerate(languages)], "lang string, word int, bit long")
+
+    def put(batches):
+        for batch in batches:
+            g, take = batch.column("g").to_numpy().astype(np.uint64), pa.array(np.tile(np.arange(batch.num_rows), HASHES))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots(g, bits)).astype(np.int32)), batch.column("word").take(take), batch.column("bit").take(take)], names=["slot", "word", "bit"])
+
+    table = np.zeros((1 << bits, -(-len(languages) // 64)), np.uint64)
+    filled = found.join(F.broadcast(number), "lang").select("g", "word", "bit").mapInArrow(put, "slot int, word int, bit long")
+    got = filled.groupBy("slot", "word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most the table
+    table[got["slot"].to_numpy(), got["word"].to_numpy()] = got["bit"].to_numpy().astype(np.int64).view(np.uint64)
+    fill = np.array([np.mean(table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(languages))])
     return Filters(languages, table, fill**HASHES)
 
 
@@ -113,10 +130,10 @@ def predict(filters: Filters, texts: list[bytes]) -> tuple[list[str], np.ndarray
         return ["und"] * len(texts), np.zeros(len(texts))
     g, of = grams([t.lower().encode() for t in plain])
     mask = None
-    for s in slots(g):
+    for s in slots(g, len(filters.rows).bit_length() - 1):
         mask = filters.rows[s] if mask is None else mask & filters.rows[s]
     n = np.bincount(of, minlength=len(texts))
-    hits = np.stack([np.bincount(of, (mask >> np.uint64(i)) & np.uint64(1), len(texts)) for i in range(n_lang)], axis=1)
+    hits = np.stack([np.bincount(of, mask[:, i // 64] >> np.uint64(i % 64) & np.uint64(1), len(texts)) for i in range(n_lang)], axis=1)
     true = np.maximum(hits - n[:, None] * filters.false_rate, 0) / (1 - filters.false_rate)
     best = true.argmax(axis=1)
     score = np.clip(true[np.arange(len(texts)), best] / np.maximum(n, 1), 0, 1)
@@ -131,7 +148,7 @@ def identified(documents: DataFrame, filters: Filters) -> DataFrame:
     are judged one by one, repeated or not; a null id stays null. No shuffle.
     """
     ship(documents.sparkSession)
-    sent = documents.sparkSession.sparkContext.broadcast(filters)  # 4 MB
+    sent = documents.sparkSession.sparkContext.broadcast(filters)  # 32 MB a 64 languages at most
 
     def run(batches):
         for batch in batches:

@@ -181,6 +181,50 @@ def test_bloom_rows_hold_what_was_put_in(spark):
     assert lang == ["xx", "yy", "xx"] and score.min() > 0.9
 
 
+def test_filters_and_popcounts_are_brute_forces(spark):
+    rng = np.random.default_rng(16)
+    letters = [list(rng.choice(list("abcdefghijklmnopqrstuvwxyzéßøж"), 12, replace=False)) for _ in range(5)]
+    word = lambda k: "".join(rng.choice(letters[k], int(rng.integers(2, 9))))
+    rows = [(i, " ".join(word(i % 5) for _ in range(40)), f"l{i % 5}") for i in range(150)] + [(900, None, "l1"), (901, "x", None), (None, "zzz zzz", "l2")]
+    f = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    count = {}
+    for i, t, x in rows:
+        if i is not None and t and x and zlib.crc32(str(i).encode()) % 3 != 1:
+            b = re.sub(rb"[^a-z\x80-\xff]", b" ", b" " + t.lower().encode() + b" ")
+            for n in langid.SIZES:
+                for k in range(len(b) - n + 1):
+                    if b" " not in b[k + 1 : k + n - 1]:
+                        g = int.from_bytes(bytes([n]) + b[k : k + n], "big")
+                        count.setdefault(x, {}).setdefault(g, 0)
+                        count[x][g] += 1
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in count.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    has = {x: {g for g, n in c.items() if n >= langid.MIN_COUNT and rate[x][g] >= langid.MIN_SHARE * top[g]} for x, c in count.items()}
+    bits, table = len(f.rows).bit_length() - 1, np.zeros_like(f.rows)
+    for k, x in enumerate(f.languages):
+        for g in has[x]:
+            for s in langid.slots(np.array([g], np.uint64), bits):
+                table[s[0], 0] |= np.uint64(1 << k)
+    assert f.languages == sorted(has) and (table == f.rows).all()
+    for _, t, _ in rows[:25]:
+        g, _ = langid.grams([t.lower().encode()])
+        counts = np.array([sum(all(int(f.rows[s[0], 0]) >> k & 1 for s in langid.slots(np.array([x], np.uint64), bits)) for x in g.tolist()) for k in range(5)])
+        true = np.maximum(counts - len(g) * f.false_rate, 0) / (1 - f.false_rate)
+        lang, score = langid.predict(f, [t.encode()])
+        assert lang == [f.languages[int(true.argmax())]] and score[0] == pytest.approx(min(1, true.max() / len(g)))
+
+
+def test_seventy_languages(spark):
+    rng = np.random.default_rng(17)
+    letters = [list(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False)) for _ in range(70)]
+    text = lambda k: " ".join("".join(rng.choice(letters[k], 6)) for _ in range(60))
+    rows = [(i, text(i % 70), f"l{i % 70:02d}") for i in range(2100)]
+    f = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    lang, _ = langid.predict(f, [text(k).encode() for k in range(70)])
+    assert len(f.languages) == 70 and f.rows.shape[1] == 2
+    assert sum(x == f"l{k:02d}" for k, x in enumerate(lang)) >= 68 and lang[69] == "l69"
+
+
 def test_toxicity_held_out(spark):
     from pyspark.sql import functions as F
 

@@ -1,8 +1,9 @@
 """Chat formatting from event logs.
 
-Conversations are logged as events: whole messages, streamed deltas, edits, regenerations. Events are partitioned by
-message and folded in the order of their sequence; messages are then partitioned by conversation, sorted, and rendered
-turn by turn, so no task holds more of a conversation than a part of its output.
+Conversations are logged as events: whole messages, streamed deltas, edits, regenerations. Logs are partitioned by
+conversation, a very long one in blocks of its messages, and each message's events are folded in the order of their
+sequence. Final messages are sorted by conversation and rendered turn by turn, so no task holds more of a conversation
+than a part of its output.
 
 Template, by turn: ``### `` role ``: `` text ``</turn>`` and a newline. In role and text a backslash stands before each
 backslash, ``###`` and ``</turn>`` (in a role also before ``:``), so control strings in them read back as text.
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelqc.cluster import new_path, ship
+from kestrelqc.cluster import new_path, ship, sized, written
 
 ASSISTANT = "assistant"
 #: Characters of a part of a conversation's output, at least one turn.
 PART_CHARS = 1 << 18
+#: Events of a conversation above which its messages are dealt to several tasks for folding.
+HOT_EVENTS = 100_000
 
 _TEXT = re.compile(r"\\|###|</turn>")
 _ROLE = re.compile(r"\\|###|</turn>|:")
@@ -65,6 +68,23 @@ def events_of(conversations: DataFrame) -> DataFrame:
     )
 
 
+def log_of(conversations: DataFrame) -> DataFrame:
+    """A table of whole messages as the log that their making may have left, whatever the texts.
+
+    An assistant's message is streamed, given up and regenerated in three deltas; any other is sent as a draft and edited
+    after the conversation's last turn. Null roles and texts are empty. Rows that repeat are messages each.
+    """
+    n, turn = F.length("text"), F.coalesce("turn", F.lit(0))
+    a, b = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    cut = lambda start, end: F.substring("text", start + 1, end - start)
+    event = lambda k, kind, text, late=0: F.struct((turn * 8 + k + late).alias("seq"), F.lit(kind).alias("kind"), (F.col("role") if k == 0 else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    streamed = F.array(event(0, "delta", cut(zero, b)), event(1, "regenerate", none), event(2, "delta", cut(zero, a)), event(3, "delta", cut(a, b)), event(4, "delta", cut(b, n)))
+    edited = F.array(event(0, "message", F.concat(cut(zero, a), F.lit(" .."))), event(1, "edit", F.col("text"), 1 << 40))
+    rows = events_of(conversations).drop("seq", "kind").withColumn("e", F.explode(F.when(F.col("role") == ASSISTANT, streamed).otherwise(edited)))
+    return rows.select("conv_id", "message", "turn", "e.seq", "e.kind", "e.role", "e.text")
+
+
 def folded(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, turn, role, text`` of events ``conv_id, message, turn, seq, kind, role, text``.
 
@@ -75,6 +95,12 @@ def folded(events: DataFrame) -> DataFrame:
     ship(events.sparkSession)
     # What the folding of a message needs of an event goes through one sort; a message's deltas stream by.
     rows = events.select("conv_id", "message", "turn", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
+    hot = written(events.groupBy("conv_id").agg(F.count("*").alias("n")).where((F.col("n") > HOT_EVENTS) & F.col("conv_id").isNotNull()).select("conv_id", F.ceil(F.col("n") / HOT_EVENTS).alias("blocks")), "hot")
+    if hot.isEmpty():
+        rows = rows.withColumn("block", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(sized(hot), "conv_id", "left").withColumn("block", F.pmod(F.xxhash64("message"), F.coalesce("blocks", F.lit(1))))
+    rows = rows.select("conv_id", "block", "message", "turn", "seq", "kind", "role", "text")
     order = ["conv_id", "message", "seq", "kind", "text"]
 
     def run(batches):
@@ -101,7 +127,7 @@ def folded(events: DataFrame) -> DataFrame:
         if state and not state[3]:
             yield _batch([(key[0], state[0], state[1], "".join(state[2]))], MESSAGE)
 
-    return rows.repartition("conv_id", "message").sortWithinPartitions(*order).mapInArrow(run, "conv_id long, turn long, role string, text string")
+    return rows.repartition("conv_id", "block").sortWithinPartitions(*order).mapInArrow(run, "conv_id long, turn long, role string, text string")
 
 
 MESSAGE = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])

@@ -75,12 +75,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kestrelqc.llm.chat import events_of, read_back, write_formatted
+    from kestrelqc.llm.chat import log_of, read_back, write_formatted
 
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(write_formatted(events_of(rows)))
+    return read_back(write_formatted(log_of(rows)))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

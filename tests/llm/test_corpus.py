@@ -302,6 +302,17 @@ def test_chat_events(spark):
     assert got == [(1, 0, "user", "hey"), (1, 1, "assistant", "good day"), (2, 0, "user", "x")]
 
 
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_chat_logs_fold_to_what_was_said(spark, monkeypatch, hot):
+    monkeypatch.setattr(chat, "HOT_EVENTS", hot)
+    said = [(k % 3, t, ("user", "assistant", None)[t % 3], ("né" * t + "x", "", None, SAID, "ab")[(k + t) % 5]) for k in range(7) for t in range(9)] + [(None, None, "assistant", "z"), (5, 1, "assistant", "twice"), (5, 1, "assistant", "twice")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.log_of(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "edit", "delta", "regenerate"}
+    got = [tuple(r) for r in chat.folded(log.repartition(5, F.rand(1))).collect()]
+    assert Counter(got) == Counter((c, t, r or "", x or "") for c, t, r, x in said)
+
+
 def sha1(b):
     return base64.b32encode(hashlib.sha1(b).digest()).decode()
 

@@ -76,6 +76,9 @@ def sharded(documents: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id",
 def write_shards(documents: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the rows to ``path/shard=<bits>`` as Parquet, one file a shard; returns all shards and their sizes.
 
+    A table that has a column ``shard`` keeps it: the folders then have the name ``shard_`` (and so on). An empty table
+    gives no shard.
+
     The rows are written once with their 48 bits of hash, so that the directory and the files see the same row hashes;
     rows of one key that are over the limit are split by these until they fit.
     """
@@ -88,7 +91,10 @@ def write_shards(documents: DataFrame, path: str, limit: int = SHARD_BYTES, key:
         part = buckets.where(F.col("depth") == d).select(F.col("prefix").alias(f"p{d}"), (F.lit("*") if d == 0 else F.expr(f"lpad(bin(prefix), {d}, '0')")).alias(f"s{d}"))
         rows = rows.withColumn(f"p{d}", F.shiftright("h", DEPTH - d)).join(sized(part), f"p{d}", "left")
         shard = F.coalesce(shard, F.col(f"s{d}"))
-    rows.select("row.*", shard.alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    name, taken = "shard", {c.lower() for c in documents.columns}
+    while name in taken:
+        name += "_"
+    rows.select("row.*", shard.alias(name)).repartition(name).write.partitionBy(name).parquet(path)
     return buckets.select("shard_bytes", "shard_rows", "depth", "prefix")
 
 

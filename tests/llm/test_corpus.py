@@ -262,6 +262,45 @@ def test_written_shards_of_a_hot_key(spark, tmp_path):
     assert sorted((sum(v), len(v)) for v in sizes.values()) == sorted((r["shard_bytes"], r["shard_rows"]) for r in shards)
 
 
+def test_shards_keep_a_column_of_that_name(spark, tmp_path):
+    rows = [(7, "x" * 1000, "own", i) for i in range(2000)] + [(None, None, None, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Shard string, row int").repartition(4)
+    shards = sharding.write_shards(df, f"{tmp_path}/out", 2000).collect()
+    back = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out").collect()
+    sizes = Counter()
+    for r in back:
+        sizes[r["shard_"]] += len(r["text"] or "")
+    assert sorted(r["row"] for r in back) == [-1, *range(2000)] and {r["Shard"] for r in back} == {"own", None}
+    assert max(sizes.values()) <= 2000 and len(sizes) == len(shards)
+
+
+def test_query_functions(spark, duck):
+    from kestrelqc.llm import queries
+
+    n = duck.sql("select count(*) from documents").fetchall()[0][0]
+    for name, f in queries.QUERIES.items():
+        out = f(spark, SF)
+        columns = sorted(out.columns)
+        got = sorted((tuple(r) for r in out.select(columns).collect()), key=str)
+        if name in queries.SQL:
+            assert got == sorted(duck.sql(f"select {', '.join(columns)} from ({queries.SQL[name]})").fetchall(), key=str), name
+        elif name != "op1_decontamination":
+            assert len(got) == n and len({r[columns.index("doc_id")] for r in got}) == n, name
+    library = tiktoken_library()
+    got = {r["doc_id"]: r for r in queries.op3_byte_bpe(spark, SF).collect()}
+    for i, t in duck.sql("select doc_id, text from documents").fetchall():
+        ids = library.encode_ordinary(t or "")
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[i]["n_tokens"] == len(ids)
+
+
+def tiktoken_library():
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe_path(), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 SAID = r"\### Assistant: </turn> ok"
 
 

@@ -28,8 +28,11 @@ MIN_CHARS = 24
 #: Characters of benchmark text that one pass over the documents looks for (a few hundred MB of index at most).
 BLOCK_CHARS = 4_000_000
 TEXT_CHARS = 1 << 19
-#: No region that aligns with a passage is longer; entries of the index that are counted at once.
-REACH, ENTRIES = 128, 1 << 20
+#: No region that aligns with a passage is longer; entries of the index that are counted at once; entries of a text from
+#: which on its repetitions are looked for.
+REACH, ENTRIES, HEAVY = 128, 1 << 17, 1 << 16
+#: Pairs of a text and a passage up to which they are counted in a table.
+BINS = 1 << 22
 
 _BEYOND = re.compile(r"[^\x00-\xff]")
 _FOLD = bytearray(b" " * 256)
@@ -52,7 +55,10 @@ def normalised(text: str) -> bytes:
 
 @dataclass
 class Index:
-    """Distinct passages of a block of benchmark items, and their q-grams in ascending order."""
+    """Distinct passages of a block of benchmark items, and the q-grams of the items in ascending order.
+
+    A passage is indexed where it stands first. Places in items are numbered through all items.
+    """
 
     held: list[list[int]]  # by passage: the items that hold it, each as often as it does
     size: np.ndarray  # by passage
@@ -60,15 +66,26 @@ class Index:
     bound: np.ndarray
     text: np.ndarray  # passages x PASSAGE bytes, zero-padded
     grams: np.ndarray  # distinct
-    key: np.ndarray  # by entry, ascending: the gram's number times the number of passages, and the passage
-    offset: np.ndarray
+    first: np.ndarray  # grams[i] has the entries first[i]:first[i + 1]
+    entry: np.ndarray  # places in items, ascending in a gram
+    item: np.ndarray  # by place: the number of its item
+    around: np.ndarray  # the passages around a place are around[bounds[place]:bounds[place + 1]]
+    bounds: np.ndarray
+    begins: np.ndarray  # by passage: its first place
     maybe: np.ndarray  # by 20 bits of hash
     whole: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: hashes of the short items, ascending, and their passages
 
+    @property
+    def least(self) -> int:
+        """The smallest bound of any passage."""
+        return int(self.bound[: len(self.begins)].min())
+
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
         held: dict[bytes, list[int]] = {}
         whole_held: dict[bytes, list[int]] = {}
+        begins: dict[bytes, int] = {}
+        places, length = [], 0
         for item, text in items:
             t = normalised(text or "")
             if len(t) < MIN_CHARS:
@@ -79,6 +96,9 @@ class Index:
                 last = max(0, len(t) - size)
                 for a in sorted({*range(0, last, stride), last}):
                     held.setdefault(t[a : a + size], []).append(item)
+                    begins.setdefault(t[a : a + size], length + a)
+            places.append(t)
+            length += len(t)
         rows, short = sorted(held, key=len), list(whole_held)
         n, every = len(rows), [*rows, *short]
         size = np.array([len(r) for r in every], np.int64)
@@ -87,12 +107,17 @@ class Index:
         text = np.zeros((len(every), PASSAGE), np.uint8)
         for i, r in enumerate(every):
             text[i, : len(r)] = np.frombuffer(r, np.uint8)
-        g = [qgrams(np.frombuffer(r, np.uint8)) for r in rows]
-        passage = np.repeat(np.arange(n), [len(x) for x in g])
-        offset = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
-        gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        order = np.argsort(gram, kind="stable")  # and by passage
-        grams, rank = np.unique(gram[order], return_inverse=True)
+        begin = np.array([begins[r] for r in rows], np.int64)
+        grams_of = size[:n] - Q + 1
+        at = np.repeat(begin - np.cumsum(grams_of) + grams_of, grams_of) + np.arange(int(grams_of.sum()))
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(length + 1))
+        place = np.unique(at)  # a gram at a place of a passage lies in the passage's item
+        gram = qgrams(np.frombuffer(b"".join(places), np.uint8))[place]
+        item = np.repeat(np.arange(len(places)), [len(t) for t in places])
+        by = np.argsort(gram, kind="stable")
+        grams, first = np.unique(gram[by], return_index=True)
+        around, entry = np.repeat(np.arange(n), grams_of)[order], place[by]
         maybe = np.zeros(1 << 20, bool)
         maybe[_slot(grams)] = True
         whole = {}
@@ -101,7 +126,7 @@ class Index:
             h = np.concatenate([Words.of([every[i]]).ngrams(words)[0] for i in at])
             by = np.argsort(h)
             whole[words] = h[by], at[by]
-        return cls([held[r] for r in rows] + [whole_held[r] for r in short], size, budget, size + 1 - Q - budget * Q, text, grams, rank * max(1, len(every)) + passage[order], offset[order], maybe, whole)
+        return cls([held[r] for r in rows] + [whole_held[r] for r in short], size, budget, size + 1 - Q - budget * Q, text, grams, np.append(first, len(gram)), entry, item, around, bounds, begin, maybe, whole)
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
@@ -176,11 +201,12 @@ def first_contexts(texts: list[bytes], at: np.ndarray, text: np.ndarray, bounds:
 
     A region that a passage aligns with is shorter than ``REACH``. If a place in it is left out, the whole region
     stands in the text before, so the first copy of every region keeps all its places: nothing is lost, and a text that
-    repeats itself costs no more than what it repeats.
+    repeats itself costs no more than what it repeats. Texts of few entries are left as they are.
     """
     if not len(at):
         return np.zeros(0, bool)
-    h = Words.of(texts).spans(np.maximum(at - REACH, bounds[text]), np.minimum(at + REACH, bounds[text + 1] - 1))
+    start = np.maximum(at - REACH, bounds[text])
+    h = Words.of(texts).spans(start, np.minimum(at + REACH, bounds[text + 1] - 1)) + (at - start).astype(np.uint64)
     order = np.lexsort((at, h, text))
     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])])
     keep = np.zeros(len(at), bool)
@@ -201,32 +227,74 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, i
     same = index.grams[k] == g[at]
     at, k = at[same], k[same]
     text = np.searchsorted(bounds, at, "right") - 1
-    same = first_contexts(texts, at, text, bounds)
-    at, k, text = at[same], k[same], text[same]
-    # So many places, or passages, at once that their entries stay few.
-    n = len(index.size)
-    per = np.searchsorted(index.key, (k + 1) * n) - np.searchsorted(index.key, k * n)
-    for part in _parts(per, text, ENTRIES):
-        blocks = -(-int(per[part].sum()) // ENTRIES)
-        for c in range(blocks):
-            lo, hi = (np.searchsorted(index.key, k[part] * n + n * x // blocks) for x in (c, c + 1))
-            _in_bands(index, texts, data, bounds, at[part], text[part], lo, hi, found)
+    heavy = np.bincount(text, index.first[k + 1] - index.first[k], len(texts)) > HEAVY
+    if heavy.any():
+        same = ~heavy[text]
+        same[~same] = first_contexts(texts, at[~same], text[~same], bounds)
+        at, k, text = at[same], k[same], text[same]
+    # So many places, or entries of one place, at once that their entries stay few.
+    candidates: list[tuple] = []
+    first, last = index.first[k], index.first[k + 1]
+    for part in _parts(last - first, text, ENTRIES):
+        blocks = -(-int((last[part] - first[part]).sum()) // ENTRIES)
+        cut = [index.first[k[part]] if not c else index.first[k[part] + 1] if c == blocks else _up_to(index, k[part], len(index.item) * c // blocks) for c in range(blocks + 1)]
+        for lo, hi in zip(cut, cut[1:]):
+            candidates.append(_in_bands(index, bounds, at[part], text[part], lo, hi))
+            if sum(len(c[0]) for c in candidates) >= ENTRIES:
+                _align(index, texts, data, bounds, candidates, found)
+                candidates = []
+    if candidates:
+        _align(index, texts, data, bounds, candidates, found)
     return [(*k, *v) for k, v in sorted(found.items())]
 
 
-def _in_bands(index: Index, texts: list[bytes], data: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: dict) -> None:
-    """Count the entries ``lo:hi`` of each place in bands of diagonals, align where the bound is met, and add to ``found``."""
+def _up_to(index: Index, k: np.ndarray, place: int) -> np.ndarray:
+    """For each of the grams ``k`` its first entry in the item of ``place`` or later."""
+    begin = int(np.searchsorted(index.item, index.item[min(place, len(index.item) - 1)]))
+    u, back = np.unique(k, return_inverse=True)
+    return np.array([index.first[x] + np.searchsorted(index.entry[index.first[x] : index.first[x + 1]], begin) for x in u], np.int64)[back]
+
+
+def _near_diagonals(index: Index, at: np.ndarray, text: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Which hits (place in the texts, its text, place in the items) share an item's band of diagonals with so many others as
+    a passage's bound at least. Bands are counted by a hash, so some more may stay."""
+    band = (at - entry + (1 << 40)) >> 4  # wider than any passage's; each counts for its band and the next
+    key = (band + index.item[entry] * 0x9E3779B97F4A7C1 + text * 0xBF58476D1CE4E5B) * 0x2545F4914F6CDD1D
+    bits = max(12, (2 * len(at)).bit_length())
+    slot = lambda x: (x >> 20) & ((1 << bits) - 1)
+    one, two = slot(key), slot(key + 0x2545F4914F6CDD1D)
+    count = np.bincount(one, minlength=1 << bits)
+    count += np.bincount(two, minlength=1 << bits)
+    return np.maximum(count[one], count[two]) >= index.least
+
+
+def _in_bands(index: Index, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (passage, text, band) by the entries ``lo:hi`` of each place: bands of diagonals in which the bound is met.
+
+    Hits are counted for whole items first; those that may matter are then counted for the passages around their place.
+    """
     n, many = hi - lo, len(index.size)
-    entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    p, of = index.key[entry] % many, np.repeat(text, n)
+    entry = index.entry[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    at, of = np.repeat(at, n), np.repeat(text, n)
+    keep = _near_diagonals(index, at, of, entry)
+    entry, at, of = entry[keep], at[keep], of[keep]
+    lo, hi = index.bounds[entry], index.bounds[entry + 1]
+    n = hi - lo
+    p = index.around[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    entry, at, of = np.repeat(entry, n), np.repeat(at, n), np.repeat(of, n)
     key = of * many + p
     # Fewer in all than the bound: no band can reach it.
-    u, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    keep = count[inverse] >= index.bound[p]
-    p, of, key = p[keep], of[keep], key[keep]
+    low = int(text[0]) * many
+    bins = (int(text[-1]) + 1) * many - low
+    if bins <= BINS:
+        keep = np.flatnonzero(np.bincount(key - low, minlength=bins)[key - low] >= index.bound[p])
+    else:
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero(count[inverse] >= index.bound[p])
+    p, key, of, at, entry = p[keep], key[keep], of[keep], at[keep], entry[keep]
     if not len(p):
-        return
-    diagonal = np.repeat(at, n)[keep] - bounds[of] - index.offset[entry][keep] + PASSAGE
+        return p, of, of
+    diagonal = at - bounds[of] - (entry - index.begins[p]) + PASSAGE
     width = index.budget[p] + 1
     band = diagonal // width
     span = int(band.max()) + 2
@@ -235,28 +303,39 @@ def _in_bands(index: Index, texts: list[bytes], data: np.ndarray, bounds: np.nda
     p, of, band = u // span % many, u // span // many, u % span
     keep = count >= index.bound[p]
     p, of, band = p[keep], of[keep], band[keep]
-    by = np.argsort(index.size[p], kind="stable")
-    p, of, band = p[by], of[by], band[by]
-    same = np.searchsorted(index.budget[p], np.unique(index.budget[p]))  # a larger passage has no smaller budget
-    for c in sorted({*range(0, len(p), 2048), *same.tolist()}):
-        end = min([len(p), c // 2048 * 2048 + 2048, *same[same > c].tolist()])
-        pc, oc, bc = p[c:end], of[c:end], band[c:end]
-        reach = 3 * int(index.budget[pc[0]]) + 3
-        start = bounds[oc] + bc * (index.budget[pc] + 1) - PASSAGE - index.budget[pc]
-        longest = int(index.size[pc].max())
-        place = start[:, None] + np.arange(longest + reach)
-        inside = (place >= bounds[oc][:, None]) & (place < bounds[oc + 1][:, None] - 1)
-        region = np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(0))
-        keep = may_align(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
-        pc, oc, start, region = pc[keep], oc[keep], start[keep], region[keep]
-        edits = aligned(index.text[pc, :longest], index.size[pc], index.budget[pc], region)
-        for x in np.flatnonzero(edits <= index.budget[pc]).tolist():
-            low = max(0, int(start[x] - bounds[oc[x]]))
-            high = min(len(texts[oc[x]]), int(start[x] - bounds[oc[x]]) + int(index.size[pc[x]]) + reach)
-            new = (int(edits[x]), low, high)
-            old = found.get((int(oc[x]), int(pc[x])))
-            if old is None or new < old:
-                found[int(oc[x]), int(pc[x])] = new
+    return p, of, band
+
+
+def _regions(index: Index, data: np.ndarray, bounds: np.ndarray, p: np.ndarray, of: np.ndarray, band: np.ndarray):
+    """Where the band of each candidate begins, and its region; all passages have one budget."""
+    budget, longest = int(index.budget[p[0]]), int(index.size[p].max())
+    start = bounds[of] + band * (budget + 1) - PASSAGE - budget
+    place = start[:, None] + np.arange(longest + 3 * budget + 3)
+    inside = (place >= bounds[of][:, None]) & (place < bounds[of + 1][:, None] - 1)
+    return start, longest, np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(0))
+
+
+def _align(index: Index, texts: list[bytes], data: np.ndarray, bounds: np.ndarray, candidates: list[tuple], found: dict) -> None:
+    """Align the candidates (passage, text, band), and add what is within its budget to ``found``."""
+    p, of, band = (np.concatenate(x) for x in zip(*candidates, strict=True))
+    for budget in np.unique(index.budget[p]).tolist():
+        same = np.flatnonzero(index.budget[p] == budget)
+        same = same[np.argsort(index.size[p[same]], kind="stable")]
+        keep = []
+        for c in range(0, len(same), 4096):
+            at = same[c : c + 4096]
+            _, longest, region = _regions(index, data, bounds, p[at], of[at], band[at])
+            keep.append(at[may_align(index.text[p[at], :longest], index.size[p[at]], index.budget[p[at]], region)])
+        same = np.concatenate(keep)
+        for c in range(0, len(same), 4096):
+            at = same[c : c + 4096]
+            start, longest, region = _regions(index, data, bounds, p[at], of[at], band[at])
+            edits = aligned(index.text[p[at], :longest], index.size[p[at]], index.budget[p[at]], region)
+            for x in np.flatnonzero(edits <= budget).tolist():
+                text, passage, begin = int(of[at[x]]), int(p[at[x]]), int(start[x] - bounds[of[at[x]]])
+                new = (int(edits[x]), max(0, begin), min(len(texts[text]), begin + int(index.size[passage]) + 3 * budget + 3))
+                if (text, passage) not in found or new < found[text, passage]:
+                    found[text, passage] = new
 
 
 def _parts(weight: np.ndarray, group: np.ndarray, limit: int):

@@ -196,15 +196,16 @@ def test_leaks_of_a_shared_opening(monkeypatch):
     assert decontamination.search(index, [text[-2000:]]) and decontamination.search(index, [text, b"", decontamination.normalised(items[5][1])]) == found
 
 
-def test_repeating_texts_lose_nothing():
+@pytest.mark.parametrize("unit", [0, 60])
+def test_repeating_texts_lose_nothing(monkeypatch, unit):
+    monkeypatch.setattr(decontamination, "HEAVY", -1)
     rng, items = np.random.default_rng(14), [(0, "the quick brown fox jumps over the lazy dog while seven wizards brew potent ale in the cold dark cellar of the old inn")]
     index = decontamination.Index.of(items)
     for _ in range(20):
         t = list(items[0][1])
         for _ in range(int(rng.integers(0, 14))):
             t[int(rng.integers(len(t)))] = "q"
-        unit = "".join(t) + " " * 1 + "pad " * int(rng.integers(0, 60))
-        text = decontamination.normalised(unit * 7)
+        text = decontamination.normalised(("".join(t) + " " + "pad " * int(rng.integers(0, unit + 1))) * (7 if unit else int(rng.integers(1, 4))))
         expect = {p for p in range(len(index.held)) if edit_distance(bytes(index.text[p, : index.size[p]]), text) <= index.budget[p]}
         assert {f[1] for f in decontamination.search(index, [text])} == expect
 

@@ -9,6 +9,7 @@ The trigrams are counted over all documents; the rest is fitted on at most ``SAM
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -35,6 +36,7 @@ ENOUGH = 0.85
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 _LEET = re.escape("".join(STANDS_FOR))
 _LETTER = r"[^\W\d_]"
+_NO_LETTER = re.compile(r"\d").match
 _ANY = rf"(?:[^\W_]|[{_LEET}])"
 #: Three or more single letters or signs, whatever stands between them; three or more parts of up to three, with other signs
 #: than spaces between; a word with a sign at any place; a letter three times or more. No form has a greatest length.
@@ -72,6 +74,55 @@ SYMBOL[0xE0:] = 126
 _BETWEEN = SYMBOL == 0
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """Bits by code point: 1 stands in a form (a letter, a digit or a sign), 2 a sign or digit that stands for a letter,
+    4 a letter, 8 between words (white space), 16 a character of words, 32 a digit, 64 a sign of plain text."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        x = chr(c)
+        alnum = x.isalnum()
+        out[c] = (alnum or x in STANDS_FOR) + 2 * (x in STANDS_FOR) + 4 * (alnum and not _NO_LETTER(x)) + 8 * x.isspace() + 16 * (alnum or x == "_") + 32 * x.isdecimal() + 64 * (x in _POINTS)
+    return out
+
+
+def starts(texts: list[str]) -> list[list[int]]:
+    """For each text the places where ``SUSPECT`` may match: the pattern is tried there and nowhere else.
+
+    All forms begin where a run of letters, digits and signs does, or a run of characters of words: runs with a sign
+    (but for numbers, or points alone), three runs in a row that are short, and runs with a letter three times.
+    """
+    data = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _classes()[data]
+    inside = np.concatenate([[0], kind & 1, [0]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edge[::2], edge[1::2]
+    if not len(begin):
+        return [[] for _ in texts]
+    length = end - begin
+    # Sums by reduceat run on to the next run's begin; what stands between runs has none of these bits.
+    signs, digits, points = (np.add.reduceat(kind >> k & 1, begin, dtype=np.int64) for k in (1, 5, 6))
+    found = [begin[(signs > 0) & (digits < length) & (points < length)]]
+    space = np.concatenate([[0], np.cumsum((kind >> 3) & 1)])
+    word = np.concatenate([[0], np.cumsum((kind >> 4) & 1)])
+    gap = begin[1:] - end[:-1]
+    tight = (gap <= 3) & (space[begin[1:]] == space[end[:-1]]) & (word[begin[1:]] == word[end[:-1]])
+    if len(begin) > 2:
+        single = length == 1
+        found.append(begin[:-2][single[:-2] & single[1:-1] & single[2:]])
+        short = length <= 3
+        found.append(begin[:-2][short[:-2] & short[1:-1] & short[2:] & tight[:-1] & tight[1:]])
+    triple = np.flatnonzero((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (kind[:-2] & 4 > 0)) if len(data) > 2 else np.zeros(0, np.int64)
+    if len(triple):
+        words = np.concatenate([[0], kind >> 4 & 1])
+        first = np.flatnonzero(words[1:] > words[:-1])
+        found.append(first[np.searchsorted(first, triple, "right") - 1])
+    at = np.unique(np.concatenate(found))
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    cut = np.searchsorted(at, bounds)
+    return [(at[a:b] - base).tolist() for a, b, base in zip(cut[:-1].tolist(), cut[1:].tolist(), bounds[:-1].tolist(), strict=True)]
+
+
 @dataclass
 class Model:
     keys: np.ndarray  # hashes of features, ascending
@@ -83,20 +134,28 @@ class Model:
     def __post_init__(self):
         self.memo: dict[str, str] = {}
 
-    def restore(self, text: str) -> str:
-        return SUSPECT.sub(self._decoded, plain_letters(text))
+    def restored(self, texts: list[str]) -> list[tuple[str, list[str]]]:
+        """Each text as it is meant, in lower case, and the spaced words found that begin with a letter that is a word, without it."""
+        texts, out = [plain_letters(t) for t in texts], []
+        for text, places in zip(texts, starts(texts), strict=True):
+            parts, more, done = [], [], 0
+            for at in places:
+                if at < done or (m := SUSPECT.match(text, at)) is None:
+                    continue
+                known = self._decoded(m)
+                parts += [text[done:at], known]
+                done = m.end()
+                if m["spaced"] is not None and known[:1] in _SINGLE and known != m[0]:
+                    more.append(known[1:])
+            out.append(("".join([*parts, text[done:]]) if parts else text, more))
+        return out
 
-    def readings(self, text: str) -> str:
-        """The restored text, and after it the spaced words that begin with a letter that is a word without that letter."""
-        more: list[str] = []
-
-        def decoded(m: re.Match) -> str:
-            known = self._decoded(m)
-            if m["spaced"] is not None and known[:1] in _SINGLE and known != m[0]:
-                more.append(known[1:])
-            return known
+    def restore(self, text: str) -> str:
+        return self.restored([text])[0][0]
 
-        return " ".join([SUSPECT.sub(decoded, plain_letters(text)), *more])
+    def readings(self, texts: list[str]) -> list[str]:
+        """Restored texts, each followed by the other readings of its spaced words."""
+        return [" ".join([text, *more]) if more else text for text, more in self.restored(texts)]
 
     def _decoded(self, m: re.Match) -> str:
         found = m[0]
@@ -116,7 +175,7 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         out, floor = np.full(len(texts), self.bias), np.zeros(len(texts))
-        w, hashes, text = features([self.readings(t) for t in texts])
+        w, hashes, text = features(self.readings(texts))
         if len(self.keys) and len(hashes):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             hit = self.keys[at] == hashes
@@ -267,7 +326,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             toxic, at = np.array(batch.column("toxic").to_pylist()), 0
             for texts in chunks(batch.column("text"), 1 << 20):
-                _, h, of = features([sent.value.readings(t.decode()) for t in texts])
+                _, h, of = features(sent.value.readings([t.decode() for t in texts]))
                 y = toxic[at : at + len(texts)]
                 at += len(texts)
                 order = np.lexsort((of, h))
@@ -300,7 +359,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             toxic, at = batch.column("toxic").to_pylist(), 0
             for texts in chunks(batch.column("text"), 1 << 20):
                 m = sent.value
-                _, h, of = features([m.readings(t.decode()) for t in texts])
+                _, h, of = features(m.readings([t.decode() for t in texts]))
                 k = np.minimum(np.searchsorted(m.keys, h), max(0, len(m.keys) - 1))
                 hit = m.keys[k] == h if len(m.keys) else np.zeros(len(h), bool)
                 found: list[set[int]] = [set() for _ in texts]

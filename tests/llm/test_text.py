@@ -264,6 +264,22 @@ def test_disguises_of_any_form(spark):
         assert model.score([plain])[0] < toxicity.THRESHOLD
 
 
+def test_places_of_disguises_are_all_that_match(duck):
+    texts = [t for (t,) in duck.sql("select text from documents order by doc_id").fetchall()]
+    rng = np.random.default_rng(18)
+    texts += ["".join(rng.choice(list("aab1!|$+.,-_ \n é3٣ßⅧ"), int(rng.integers(0, 60)))) for _ in range(3000)] + ["", "ooo", "!", "a.b.c"]
+    texts = [toxicity.plain_letters(t) for t in texts]
+    for text, places in zip(texts, toxicity.starts(texts), strict=True):
+        whole = [(m.start(), m[0]) for m in toxicity.SUSPECT.finditer(text)]
+        got, done = [], 0
+        for at in places:
+            if at >= done and (m := toxicity.SUSPECT.match(text, at)):
+                got.append((at, m[0]))
+                done = m.end()
+        # What is left out would be left as it is.
+        assert set(got) <= set(whole) and all(toxicity._PLAIN.fullmatch(x) for _, x in set(whole) - set(got)), text
+
+
 def test_viterbi_is_the_best_of_all_ways():
     rng = np.random.default_rng(15)
     trigrams = np.log(rng.random((128, 128, 128)) + 1e-3).astype(np.float32)

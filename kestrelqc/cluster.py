@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -16,18 +17,31 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), one of our own that is then set."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets one of its own, and any other an error.
+
+    On a cluster a folder of the driver's machine would be another one on each executor, and what they write there is lost.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kestrelqc-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="kestrelqc-")
+        atexit.register(shutil.rmtree, folder, True)
+        found = "file://" + folder
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Tables and folders made here that are not removed yet.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kestrelqc-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/kestrelqc-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -37,6 +51,30 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, since: int = 0) -> None:
+    """Remove what :func:`new_path` has named, from the ``since``-th on."""
+    jvm = spark.sparkContext._jvm
+    for path in _MADE[since:]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del _MADE[since:]
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Remove the intermediate tables that are made inside, and set the size of Arrow batches back, at the end.
+
+    Results are lazy and read these tables: write or collect them inside. Paths that a caller names are never removed.
+    """
+    since, size = len(_MADE), spark.conf.get(_BATCH)
+    try:
+        yield
+    finally:
+        removed(spark, since)
+        spark.conf.set(_BATCH, size)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that a Python task gets at once: of whole texts, a few MB.
 BATCH_ROWS = 1000
 
@@ -44,10 +82,11 @@ BATCH_ROWS = 1000
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors (once for each application), and keep Arrow batches small.
 
-    A batch takes memory several times: off-heap in the JVM on its way there and back, and in the Python worker.
+    A batch takes memory several times: off-heap in the JVM on its way there and back, and in the Python worker. So where
+    the session does not say how many rows a batch has, it is told ``BATCH_ROWS``; see :func:`scope`.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

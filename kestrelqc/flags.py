@@ -12,7 +12,7 @@ class InvalidInputShape(ValueError):
     """An input has too few values, or columns that do not fit together."""
 
     def __init__(self, what: str):
-        super().__init__(f"input vector {what} does not have compatible dimensions")
+        super().__init__(f"{what}: too few values for the context that is asked for")
         self.what = what
 
 
@@ -20,5 +20,13 @@ class InvalidArg(ValueError):
     """A parameter is out of its range."""
 
     def __init__(self, name: str, reason: str):
-        super().__init__(f"argument {name} is invalid: {reason}")
+        super().__init__(f"{name}: {reason}")
         self.name, self.reason = name, reason
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it as long as a column has it: a result never replaces a column of the input."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrelqc.cluster import sized, written
+from kestrelqc.flags import free_name
 from kestrelqc.functions.geo import linear_km, squared_chord, squared_km, xyz
 
 #: A cell this wide (km) holds the whole sphere's neighbours; a larger radius needs no grid.
 WIDEST = 2 * 6371.0
+#: Stations of a cell above which it is dealt to several tasks.
+DENSE = 20_000
 
 
 def located(stations: DataFrame) -> DataFrame:
@@ -20,34 +24,57 @@ def located(stations: DataFrame) -> DataFrame:
     return stations.withColumns(xyz(F.col("lat"), F.col("lon")))
 
 
-def neighbours(stations: DataFrame, radius: float | Column, include_match: bool = False, mode: str = "squared_km", largest: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def neighbours(stations: DataFrame, radius: float | Column, include_match: bool = False, mode: str = "squared_km", largest: float | None = None, carry: tuple[str, ...] = (), ident: str = "station_idx", dense: int = DENSE) -> DataFrame:
     """Pairs ``slice_id, station_idx, neighbour_idx, distance`` (a chord in km) within the radius, inclusive.
 
     Without ``include_match`` pairs at exactly equal coordinates are left out, the station itself among them.
     ``radius`` is a number, or a column of the stations with ``largest`` as its bound. ``carry`` names columns of the
-    neighbour that come along as ``n_<name>``. Null or NaN coordinates have no neighbours.
+    neighbour that come along as ``n_<name>``, whatever they are called. ``ident`` names the column that tells stations apart.
+    Null or NaN coordinates, or a null radius, have no neighbours. A null ``slice_id`` is a slice. Rows that repeat are
+    stations each, so their pairs repeat. Other columns do not matter.
 
     Each centre is sent to the 27 cells around it and meets the stations of a cell by equality, so a large slice is
-    spread over its cells; a cell is as wide as the radius.
+    spread over its cells; a cell is as wide as the radius. A cell of over ``dense`` stations is dealt to several tasks:
+    its stations once, the centres around it to each.
     """
     own_radius = radius if isinstance(radius, Column) else F.lit(float(radius))
     bound = linear_km(largest if isinstance(radius, Column) else radius, mode)
-    there = located(stations).where(F.col("x").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z"))
+    place = xyz(F.col("lat"), F.col("lon"))
+    there = place["x"].isNotNull() & ~F.isnan(place["x"]) & ~F.isnan(place["y"]) & ~F.isnan(place["z"])
     width = max(bound, 1e-3)
-    centre = there.select("slice_id", "station_idx", "x", "y", "z", squared_km(own_radius, mode).alias("r2"))
-    other = there.select("slice_id", F.col("station_idx").alias("neighbour_idx"), *(F.col(c).alias(f"n_{c}") for c in dict.fromkeys(("x", "y", "z", *carry))))
-    keys = ["slice_id"]
+    points = stations.where(there)
+    slice_id = F.struct(F.col("slice_id").alias("id")).alias("slice")  # a null in it equals a null
+    centre = points.select(slice_id, F.col(ident).alias("i"), *(place[k].alias(k) for k in "xyz"), squared_km(own_radius, mode).alias("r2"))
+    other = points.select(slice_id, F.col(ident).alias("j"), *(place[k].alias(f"n{k}") for k in "xyz"), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)), F.lit(0).alias("z")).alias("with"))
+    keys = ["slice"]
     if width < WIDEST:
-        cell = {k: F.floor(F.col(k) / width) for k in "xyz"}
-        for k in "xyz":
-            centre = centre.withColumn(f"c{k}", F.explode(F.array(cell[k] - 1, cell[k], cell[k] + 1)))
-        other = other.withColumns({f"c{k}": F.floor(F.col(f"n_{k}") / width) for k in "xyz"})
+        near = [F.array(*(F.floor(F.col(k) / width) + d for d in (-1, 0, 1))) for k in "xyz"]
+        for k, cells in zip("xyz", near, strict=True):
+            centre = centre.withColumn(f"c{k}", F.explode(cells))
+        other = other.withColumns({f"c{k}": F.floor(F.col(f"n{k}") / width) for k in "xyz"})
         keys += ["cx", "cy", "cz"]
-    apart = squared_chord({k: F.col(k) for k in "xyz"}, {k: F.col(f"n_{k}") for k in "xyz"})
-    pairs = centre.join(other, keys).withColumn("_d2", apart).where(F.col("_d2") <= F.col("r2"))
+    crowded = written(other.groupBy(*keys).agg(F.ceil(F.count("*") / dense).alias("blocks")).where("blocks > 1"), "crowded")
+    if not crowded.isEmpty():
+        few = sized(crowded)
+        other = other.join(few, keys, "left").withColumn("block", F.pmod(F.xxhash64("nx", "ny", "nz", "j"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
+        centre = centre.join(few, keys, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        keys += ["block"]
+    apart = squared_chord({k: F.col(k) for k in "xyz"}, {k: F.col(f"n{k}") for k in "xyz"})
+    pairs = centre.join(other, keys).withColumn("d2", apart).where(F.col("d2") <= F.col("r2"))
     if not include_match:
-        pairs = pairs.where("x <> n_x or y <> n_y or z <> n_z")
-    return pairs.select("slice_id", "station_idx", "neighbour_idx", F.sqrt("_d2").alias("distance"), *(f"n_{c}" for c in carry))
+        pairs = pairs.where("x <> nx or y <> ny or z <> nz")
+    return pairs.select(F.col("slice.id").alias("slice_id"), F.col("i").alias("station_idx"), F.col("j").alias("neighbour_idx"), F.sqrt("d2").alias("distance"), *(F.col(f"with.c{k}").alias(f"n_{c}") for k, c in enumerate(carry)))
+
+
+def at_index(stations: DataFrame, wanted: DataFrame, columns: tuple[str, ...] = ("lat", "lon", "elev")) -> DataFrame:
+    """``wanted`` (with ``slice_id, station_idx``, or ``station_idx`` alone) with the coordinates of these stations.
+
+    An index that no station has gives no row; a null matches a null slice only.
+    """
+    keys = [c for c in ("slice_id", "station_idx") if c in wanted.columns]
+    right = stations.select(*(F.col(c).alias(f"_{c}") for c in keys), F.struct(*columns).alias("_at"))
+    same = [wanted[c].eqNullSafe(right[f"_{c}"]) if c == "slice_id" else wanted[c] == right[f"_{c}"] for c in keys]
+    return wanted.join(right, same).select(*(wanted[c] for c in wanted.columns), *(F.col(f"_at.{c}").alias(free_name(c, wanted.columns)) for c in columns))
 
 
 def nearest(pairs: DataFrame, most: int, digits: int | None = None) -> DataFrame:

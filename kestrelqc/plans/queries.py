@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrelqc.flags import FLAGS
@@ -12,7 +12,7 @@ from kestrelqc.functions.geo import chord, great_circle
 from kestrelqc.functions.stats import profile_lines, quantile
 from kestrelqc.functions.values import is_valid
 from kestrelqc.operators import buddy, neighbours, series
-from kestrelqc.operators.sct import sct
+from kestrelqc.operators.sct import box_statistics, sct
 from kestrelqc.sources.tables import SERIES_SQL, STATIONS_SQL, customer_stations, event_series, triplets
 
 #: Parameters of the queries. The radius is a square in km; the box of the statistics is the neighbourhood with its centre.
@@ -80,6 +80,20 @@ def series_context_trim(spark, sf_dir):
     return _out(series.dip_check(event_series(spark, sf_dir), *DIP, leading=3, trailing=2).select("series_id", "ts", "flag"))
 
 
+@_query(_series(f"{_LAGGED} SELECT series_id, {_TS}, {_STEP_OBSERVED} AS flag FROM w WHERE k > 2 AND k <= n - 3"))
+def step_trim_trailing(spark, sf_dir):
+    return _out(series.step_check(event_series(spark, sf_dir), *STEP, leading=2, trailing=3, trim_trailing=True).select("series_id", "ts", "flag"))
+
+
+_CONTEXT = "length(series_id) % 3 + 1"
+
+
+@_query(_series(f"{_LAGGED} SELECT series_id, {_TS}, {_DIP} AS flag FROM w WHERE k > {_CONTEXT} AND k <= n - ({_CONTEXT})"))
+def series_own_context(spark, sf_dir):
+    own = F.length("series_id") % 3 + 1
+    return _out(series.dip_check(event_series(spark, sf_dir), *DIP, leading=own, trailing=own, piece=86400).select("series_id", "ts", "flag"))
+
+
 @_query(_series(f"{_LAGGED} SELECT series_id, {_TS}, {_DIP} AS flag FROM w WHERE k > 1 AND k < n"))
 def dip_check_split(spark, sf_dir):
     return _out(series.split_check(event_series(spark, sf_dir), "dip", *DIP, period=3600, split=86400).select("series_id", "ts", "flag"))
@@ -105,23 +119,24 @@ def station_xyz(spark, sf_dir):
     return neighbours.located(customer_stations(spark, sf_dir)).select("slice_id", "station_idx", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
-_NEXT = "FROM located a JOIN located b ON a.slice_id = b.slice_id AND b.station_idx = a.station_idx + 25"
+#: Each station with the next of its slice, the last with itself.
+_NEXT = f"""WITH {STATIONS_SQL}, next AS (SELECT *, {', '.join(f'coalesce(lead({c}) OVER w, {c}) AS {c}2' for c in ('lat', 'lon', 'x', 'y', 'z'))}
+    FROM located WINDOW w AS (PARTITION BY slice_id ORDER BY station_idx))"""
 
 
 def _next(spark, sf_dir):
-    """Stations with another of the same slice."""
-    a = neighbours.located(customer_stations(spark, sf_dir))
-    b = a.select("slice_id", (F.col("station_idx") - 25).alias("station_idx"), *(F.col(c).alias(f"{c}2") for c in ("lat", "lon", "x", "y", "z")))
-    return a.join(b, ["slice_id", "station_idx"])
+    order = Window.partitionBy("slice_id").orderBy("station_idx")
+    rows = neighbours.located(customer_stations(spark, sf_dir))
+    return rows.withColumns({f"{c}2": F.coalesce(F.lead(c).over(order), F.col(c)) for c in ("lat", "lon", "x", "y", "z")})
 
 
-@_query(f"WITH {STATIONS_SQL} SELECT a.slice_id, a.station_idx, round(sqrt((a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2), 4) AS distance {_NEXT}")
+@_query(f"{_NEXT} SELECT slice_id, station_idx, round(sqrt((x - x2)**2 + (y - y2)**2 + (z - z2)**2), 4) AS distance FROM next")
 def pair_chord(spark, sf_dir):
     return _next(spark, sf_dir).select("slice_id", "station_idx", F.round(chord({k: F.col(k) for k in "xyz"}, {k: F.col(f"{k}2") for k in "xyz"}), 4).alias("distance"))
 
 
-@_query(f"""WITH {STATIONS_SQL} SELECT a.slice_id, a.station_idx, round(CASE WHEN a.lat = b.lat AND a.lon = b.lon THEN 0
-    ELSE acos(greatest(0, least(1, (a.x * b.x + a.y * b.y + a.z * b.z) / (6371.0::DOUBLE * 6371)))) * 6371 END, 2) AS distance {_NEXT}""")
+@_query(f"""{_NEXT} SELECT slice_id, station_idx, round(CASE WHEN lat = lat2 AND lon = lon2 THEN 0
+    ELSE acos(greatest(0, least(1, (x * x2 + y * y2 + z * z2) / (6371.0::DOUBLE * 6371)))) * 6371 END, 2) AS distance FROM next""")
 def pair_great_circle(spark, sf_dir):
     return _next(spark, sf_dir).select("slice_id", "station_idx", F.round(great_circle(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 2).alias("distance"))
 
@@ -163,7 +178,18 @@ def nearest_k(spark, sf_dir):
 @_query(f"WITH {STATIONS_SQL} SELECT o_orderkey, lat, lon, elev FROM orders JOIN stations ON station_idx = o_custkey")
 def coords_lookup(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("station_idx"))
-    return orders.join(customer_stations(spark, sf_dir), "station_idx").select("o_orderkey", "lat", "lon", "elev")
+    return neighbours.at_index(customer_stations(spark, sf_dir), orders).select("o_orderkey", "lat", "lon", "elev")
+
+
+@_query(f"""WITH {STATIONS_SQL}, m AS (SELECT unnest(['squared_km', 'km', 'm']) AS mode, unnest([400.0, 20.0, 20000.0]) AS radius)
+    SELECT mode, a.slice_id, a.station_idx, count(*) AS n FROM m, located a JOIN located b USING (slice_id)
+    WHERE (a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2 <= CASE mode WHEN 'squared_km' THEN radius WHEN 'km' THEN radius * radius ELSE radius * radius / 1000000 END GROUP BY ALL""")
+def radius_modes(spark, sf_dir):
+    out = None
+    for mode, radius in (("squared_km", 400.0), ("km", 20.0), ("m", 20000.0)):
+        one = neighbours.neighbours(customer_stations(spark, sf_dir), radius, True, mode).groupBy("slice_id", "station_idx").agg(F.count("*").alias("n")).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @_query(f"WITH {_PAIRS}, {_NEAREST} SELECT n.slice_id, n.station_idx, n.neighbour_idx, s.lat, s.elev, s.value FROM nearest n JOIN stations s ON s.slice_id = n.slice_id AND s.station_idx = n.neighbour_idx")
@@ -196,16 +222,16 @@ def buddy_moments(spark, sf_dir):
     return buddy.moments(_buddies(spark, sf_dir)).select("slice_id", "station_idx", "n", F.round("mean", 9).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-def _sweeps(sweeps: int, mask: str = "true") -> str:
+def _sweeps(sweeps: int, mask: str = "true", num_min: str = str(NUM_MIN), within: str = "true") -> str:
     """The sweeps with their rounds unrolled: rounds past the last needed change nothing."""
-    out, old = [f"WITH {_BUDDIES}, s0 AS (SELECT slice_id, station_idx, value, true AS passed, {mask} AS judge FROM stations)"], "s0"
+    out, old = [f"WITH {_BUDDIES.replace('FROM pairs WHERE', f'FROM pairs WHERE {within} AND')}, s0 AS (SELECT slice_id, station_idx, value, true AS passed, {mask} AS judge FROM stations)"], "s0"
     for i in range(sweeps):
         new = old
         for r in range(ROUNDS):
             name = f"s{i + 1}_{r}"
             out.append(f"""{name} AS MATERIALIZED (
     SELECT o.slice_id, o.station_idx, o.value, o.judge,
-        o.passed AND NOT (o.judge AND coalesce(m.n >= {NUM_MIN} AND abs(o.value - m.mean) > {THRESHOLD}::DOUBLE * greatest(
+        o.passed AND NOT (o.judge AND coalesce(m.n >= {num_min} AND abs(o.value - m.mean) > {THRESHOLD}::DOUBLE * greatest(
             CASE WHEN m.variance * (1 + 1.0::DOUBLE / m.n) >= 0 THEN sqrt(m.variance * (1 + 1.0::DOUBLE / m.n)) ELSE {MIN_STD}::DOUBLE END, {MIN_STD}::DOUBLE), false)) AS passed
     FROM {old} o LEFT JOIN (
         SELECT b.slice_id, b.station_idx, count(*) AS n, avg(b.v) AS mean, avg(b.v * b.v) - avg(b.v) * avg(b.v) AS variance
@@ -241,6 +267,13 @@ def buddy_mask(spark, sf_dir):
     return _checked(spark, sf_dir, SWEEPS, F.col("station_idx") % 3 != 0)
 
 
+@_query(_sweeps(SWEEPS, num_min="(3 + o.station_idx % 4)", within="distance <= 20 + station_idx % 3 * 5"))
+def buddy_params(spark, sf_dir):
+    radius = (20 + F.col("station_idx") % 3 * 5).cast("double")
+    found = buddy.buddy_check(customer_stations(spark, sf_dir), radius, 3 + F.col("station_idx") % 4, THRESHOLD, ELEV_DIFF, GRADIENT, MIN_STD, SWEEPS, mode="km", largest=30.0)
+    return found.select("slice_id", "station_idx", "flag")
+
+
 @_query("SELECT c_nationkey AS slice_id, round(quantile_cont(v, 0.1), 6) AS q10, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95"
         f" FROM (SELECT c_nationkey, {_ODD} AS v FROM customer) WHERE NOT isnan(v) AND NOT isinf(v) GROUP BY ALL")
 def quantiles(spark, sf_dir):
@@ -251,7 +284,7 @@ def quantiles(spark, sf_dir):
 
 
 def _profile_sql(elev: str, num_min: int) -> str:
-    return f"""WITH {STATIONS_SQL}, r AS (SELECT slice_id, station_idx AS i, {elev} AS z, value AS v FROM stations WHERE station_idx % 5 = 0),
+    return f"""WITH {STATIONS_SQL}, r AS (SELECT slice_id, station_idx AS i, {elev} AS z, value AS v FROM stations),
     about AS (SELECT slice_id, CASE WHEN min(z) = max(z) THEN 'flat' WHEN count(*) < {num_min} OR quantile_cont(z, 0.95) - quantile_cont(z, 0.05) < 100 THEN 'basic' ELSE 'full' END AS kind, avg(v) AS mean FROM r GROUP BY ALL),
     slopes AS (SELECT a.slice_id, quantile_cont(CASE WHEN abs(a.z - b.z) < 1 THEN 0 ELSE (a.v - b.v) / (a.z - b.z) END, 0.5) AS s FROM r a JOIN r b ON a.slice_id = b.slice_id AND a.i < b.i GROUP BY ALL),
     lines AS (SELECT kind, mean, about.slice_id, CASE kind WHEN 'flat' THEN 0 WHEN 'basic' THEN -0.0065::DOUBLE ELSE s END AS slope FROM about LEFT JOIN slopes USING (slice_id)),
@@ -259,8 +292,8 @@ def _profile_sql(elev: str, num_min: int) -> str:
     SELECT slice_id, kind, round(slope, 7) AS slope, round(CASE WHEN kind = 'flat' THEN mean ELSE m END, 6) AS intercept FROM lines JOIN rest USING (slice_id)"""
 
 
-def _profile(spark, sf_dir, elev, num_min, part="station_idx % 5 = 0"):
-    rows = customer_stations(spark, sf_dir).where(part).withColumn("elev", elev)
+def _profile(spark, sf_dir, elev, num_min):
+    rows = customer_stations(spark, sf_dir).withColumn("elev", elev)
     return profile_lines(rows, ["slice_id"], "elev", "value", num_min, 100.0, "station_idx").select("slice_id", "kind", F.round("slope", 7).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
@@ -279,22 +312,6 @@ def theil_sen_profile_flat(spark, sf_dir):
     return _profile(spark, sf_dir, F.lit(50.0), 5)
 
 
-# The SQL of the three above takes a fifth of the stations, and so do they; these fit every station of a slice.
-@_query()
-def theil_sen_whole_full(spark, sf_dir):
-    return _profile(spark, sf_dir, F.col("elev"), 5, "true")
-
-
-@_query()
-def theil_sen_whole_basic(spark, sf_dir):
-    return _profile(spark, sf_dir, F.col("elev"), 1000, "true")
-
-
-@_query()
-def theil_sen_whole_flat(spark, sf_dir):
-    return _profile(spark, sf_dir, F.lit(50.0), 5, "true")
-
-
 _AWAY = """CASE WHEN a.lat = b.lat AND a.lon = b.lon THEN 0 ELSE acos(greatest(0, least(1, (a.x * b.x + a.y * b.y + a.z * b.z) / (6371.0::DOUBLE * 6371)))) * 6371 END"""
 _TRIPLETS = f"""{STATIONS_SQL}, full3 AS (SELECT station_idx // 3 AS g FROM stations GROUP BY ALL HAVING count(*) = 3),
     t AS (SELECT l.station_idx // 3 AS slice_id, l.station_idx, lat, lon, elev, value, x, y, z FROM located l JOIN full3 ON l.station_idx // 3 = g),
@@ -304,25 +321,23 @@ _TRIPLETS = f"""{STATIONS_SQL}, full3 AS (SELECT station_idx // 3 AS g FROM stat
     corr AS (SELECT slice_id, i, j, exp(-0.5::DOUBLE * (h / dh)**2 - 0.5::DOUBLE * (dz / 200)**2) AS s FROM away JOIN scale USING (slice_id))"""
 
 
-def _away(spark, sf_dir):
-    """Distances between the stations of a triplet, itself included, and each triplet's scale."""
-    a = triplets(customer_stations(spark, sf_dir))
-    b = a.select("slice_id", F.col("station_idx").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("elev").alias("elev2"))
-    away = a.join(b, "slice_id").select("slice_id", F.col("station_idx").alias("i"), "j", great_circle(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("h"), F.abs(F.col("elev") - F.col("elev2")).alias("dz"))
-    tenth = away.where("i <> j").groupBy("slice_id", "i").agg(quantile(F.col("h"), 0.1).alias("q"))
-    return away, tenth.groupBy("slice_id").agg(F.greatest(F.lit(10.0), F.avg("q")).alias("dh"))
+def _boxes(spark, sf_dir):
+    return box_statistics(triplets(customer_stations(spark, sf_dir)), 10.0, 200.0)
 
 
 @_query(f"WITH {_TRIPLETS} SELECT slice_id, round(dh, 2) AS dh FROM scale")
 def decorrelation_length(spark, sf_dir):
-    return _away(spark, sf_dir)[1].select("slice_id", F.round("dh", 2).alias("dh"))
+    return _boxes(spark, sf_dir).groupBy("slice_id").agg(F.round(F.max("dh"), 2).alias("dh"))
+
+
+@_query(f"WITH {_TRIPLETS} SELECT slice_id, i, j, round(h, 2) AS h, round(dz, 3) AS dz FROM away")
+def box_distances(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("slice_id", "i", "j", F.round("h", 2).alias("h"), F.round("dz", 3).alias("dz"))
 
 
 @_query(f"WITH {_TRIPLETS} SELECT slice_id, i, j, round(s, 5) AS s FROM corr")
 def background_correlation(spark, sf_dir):
-    away, scale = _away(spark, sf_dir)
-    s = F.exp(-0.5 * (F.col("h") / F.col("dh")) ** 2 - 0.5 * (F.col("dz") / 200) ** 2)
-    return away.join(scale, "slice_id").select("slice_id", "i", "j", F.round(s, 5).alias("s"))
+    return _boxes(spark, sf_dir).select("slice_id", "i", "j", F.round("s", 5).alias("s"))
 
 
 # Boxes of three: the inverse is the adjugate over the determinant, and the profile is basic (three are under five).
@@ -340,12 +355,26 @@ _INVERSE = """
     r AS (SELECT slice_id, unnest([0, 1, 2]) AS k, unnest([-w0 / i00, -w1 / i11, -w2 / i22]) AS cv, unnest([0.5 * w0 * w0 / i00 / sig, 0.5 * w1 * w1 / i11 / sig, 0.5 * w2 * w2 / i22 / sig]) AS pog FROM o)"""
 
 
-@_query(f"WITH {_TRIPLETS}, {_INVERSE} SELECT r.slice_id, v.station_idx, CASE WHEN (cv < 0 AND pog > 1.5) OR (cv >= 0 AND pog > 1.2) THEN 'Fail' ELSE 'Pass' END AS flag, round(pog, 4) AS prob_gross_error FROM r JOIN v ON v.slice_id = r.slice_id AND v.k = r.k")
-def sct_triplets(spark, sf_dir):
-    found = sct(triplets(customer_stations(spark, sf_dir)), 2, 10, 20000.0, 4e8, 1, 5, 100.0, 10.0, 200.0, pos=1.5, neg=1.2, eps2=0.5)
+def _triplets_sql(judge: str = "true") -> str:
+    return f"""WITH {_TRIPLETS}, {_INVERSE} SELECT r.slice_id, v.station_idx, CASE WHEN {judge} AND ((cv < 0 AND pog > 1.5) OR (cv >= 0 AND pog > 1.2)) THEN 'Fail' ELSE 'Pass' END AS flag,
+    CASE WHEN {judge} THEN round(pog, 4) ELSE 0 END AS prob_gross_error FROM r JOIN v ON v.slice_id = r.slice_id AND v.k = r.k"""
+
+
+def _triplets(rows, **more):
+    found = sct(rows, 2, 10, 20000.0, 4e8, 1, 5, 100.0, 10.0, 200.0, pos=1.5, neg=1.2, eps2=0.5, **more)
     return found.select("slice_id", "station_idx", "flag", F.round("prob_gross_error", 4).alias("prob_gross_error"))
 
 
+@_query(_triplets_sql())
+def sct_triplets(spark, sf_dir):
+    return _triplets(triplets(customer_stations(spark, sf_dir)))
+
+
+@_query(_triplets_sql("v.station_idx % 4 <> 1"))
+def sct_mask(spark, sf_dir):
+    return _triplets(triplets(customer_stations(spark, sf_dir)).withColumn("judge", F.col("station_idx") % 4 != 1), mask="judge")
+
+
 def _sct(spark, sf_dir):
     return sct(customer_stations(spark, sf_dir), NUM_MIN, 100, 10.0, RADIUS2, 2, 20, 200.0, 10.0, 200.0, pos=4.0, neg=8.0, eps2=0.5)
 

@@ -46,12 +46,14 @@ def dip_of(p: float | None, v: float | None, x: float | None, high: float, max:
 def check_stream(stream: DataFrame, step: tuple[float, float], dip: tuple[float, float]) -> DataFrame:
     """Flags ``series_id, ts, check, flag`` of a stream ``series_id, ts, value``; ``step`` and ``dip`` are high and max.
 
-    A null value counts as missing. Give the query a checkpoint location, and the append mode.
+    A null value counts as missing. An observation without a time has no place and gets no flag; of equal times in a batch the
+    least value counts, and the others are late. A null series is a series. Give the query a checkpoint location, and the
+    append mode.
     """
     ship(stream.sparkSession)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("ts")
+        rows = pd.concat(list(frames)).dropna(subset=["ts"]).sort_values(["ts", "value"])
         at, p, p_gone, v, v_gone, seen = state.get if state.exists else (None, 0.0, True, 0.0, True, 0)
         out, v_ts = [], at
         for ts, x in zip(rows["ts"], rows["value"], strict=True):

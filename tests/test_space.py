@@ -11,6 +11,8 @@ from kestrelqc.operators.buddy import buddy_check
 from kestrelqc.operators.neighbours import nearest, neighbours
 from kestrelqc.operators.sct import sct
 
+# The coordinates, values and flags of the known cases of test_buddy_vectors and test_sct_vectors, and the
+# parameters ARGS of the latter.
 LONS = [60, 60.00011111, 60.00022222, 60.00033333, 60.00044444, 60.00055556, 60.00066667, 60.00077778, 60.00088889, 60.001]
 SCHEMA = "slice_id int, station_idx int, lat double, lon double, elev double, value double"
 NAN = math.nan
@@ -121,10 +123,160 @@ def test_sct_vectors(spark):
 
 
 def test_sct_many_alike(spark):
-    n = 1500
-    lats, lons = [(i * i * 0.001) % 1 for i in range(n)], [((i + 1) ** 2 * 0.001) % 1 for i in range(n)]
+    rng, n = np.random.default_rng(20), 10_000
     args = ARGS | dict(num_min=5, num_max=100, inner_radius=50000.0, outer_radius=150000.0, num_iterations=5, num_min_prof=20, min_elev_diff=200.0, pos=4.0, neg=8.0)
-    assert set(flags(sct(stations(spark, lons, [1] * n, lats=lats, elevs=1.0), **args))) == {"Pass"}
+    df = stations(spark, list(rng.uniform(0, 1, n)), [1] * n, lats=list(rng.uniform(0, 1, n)), elevs=1.0).withColumn("judge", F.lit(True))
+    assert set(flags(sct(df, mask="judge", **args))) == {"Pass"}
+
+
+def plain_sct(rows, num_min, num_max, inner_radius, outer_radius, num_iterations, num_min_prof, min_elev_diff, min_horizontal_scale, vertical_scale, pos, neg, eps2):
+    """The test of one slice as its definition says: rows (lat, lon, elev, value, judge) one after the other."""
+    n = len(rows)
+    quantile = lambda q, x: float(np.quantile(np.sort(x), q))
+    xyz = [np.array([math.cos(math.radians(a)) * math.cos(math.radians(o)), math.cos(math.radians(a)) * math.sin(math.radians(o)), math.sin(math.radians(a))]) for a, o, *_ in rows]
+    flag = ["DataMissing" if r[3] is None else "Pass" if math.isfinite(r[2]) and math.isfinite(r[3]) else "Invalid" for r in rows]
+    for _ in range(num_iterations):
+        thrown, checked = 0, [False] * n
+        for i in range(n):
+            if not rows[i][4] or flag[i] != "Pass" or checked[i]:
+                continue
+            near = sorted((math.dist(xyz[i] * 6371, xyz[j] * 6371), j) for j in range(n))
+            near = [(d, j) for d, j in near if d <= math.sqrt(outer_radius) and flag[j] == "Pass"][:num_max]
+            if len(near) < num_min:
+                flag[i] = "Isolated"
+                continue
+            box = [j for _, j in near]
+            z, v = np.array([rows[j][2] for j in box]), np.array([rows[j][3] for j in box])
+            m = len(box)
+            if (z == z[0]).all():
+                back = np.full(m, v.mean())
+            else:
+                slope = -0.0065
+                if m >= num_min_prof and quantile(0.95, z) - quantile(0.05, z) >= min_elev_diff:
+                    slope = quantile(0.5, [0.0 if abs(z[a] - z[b]) < 1 else (v[a] - v[b]) / (z[a] - z[b]) for a in range(m) for b in range(a + 1, m)])
+                back = quantile(0.5, v - slope * z) + slope * z
+            away = np.array([[0.0 if (xyz[a] == xyz[b]).all() else math.acos(max(0.0, min(1.0, float(xyz[a] @ xyz[b])))) * 6371 for b in box] for a in box])
+            scale = max(min_horizontal_scale, sum(quantile(0.1, np.delete(away[a], a)) for a in range(m)) / m)
+            s = np.exp(-0.5 * (away / scale) ** 2 - 0.5 * ((z[:, None] - z[None, :]) / vertical_scale) ** 2)
+            inverse, d = np.linalg.inv(s + eps2 * np.eye(m)), v - back
+            w = inverse @ d
+            left, analysis = -w / np.diag(inverse), s @ w - d
+            chance = left * analysis / max(0.01, float((-d * analysis).sum()) / m)
+            for k, j in enumerate(box):
+                if not rows[j][4]:
+                    checked[i] = True
+                elif near[k][0] <= inner_radius:
+                    if chance[k] > (pos if left[k] < 0 else neg):
+                        flag[j], thrown = "Fail", thrown + 1
+                    checked[j] = True
+        if not thrown:
+            break
+    return flag
+
+
+@pytest.mark.parametrize("case", range(6))
+def test_sct_random_against_the_definition(spark, case):
+    rng = np.random.default_rng(30 + case)
+    args = ARGS | dict(num_min=4, num_max=(8, 60)[case % 2], inner_radius=(0.0, 6.0, 30.0)[case % 3], outer_radius=(225.0, 400.0)[case % 2], num_iterations=3, num_min_prof=(6, 20)[case % 2], min_elev_diff=60.0, min_horizontal_scale=3.0, pos=1.6, neg=1.1)
+    rows, by = [], {}
+    for slice_id in (1, 2, None):
+        centres = rng.uniform(0, 1, (4, 2)) * (1.0, 2.0)
+        for i in range(60):
+            lat, lon = centres[int(rng.integers(4))] + rng.normal(0, (0.05, 0.3)[i % 7 == 0], 2)
+            elev = NAN if i == 7 else float(rng.integers(0, 40) * 10)
+            value = None if i == 9 else math.inf if i == 11 else float(10 - 0.0065 * elev + rng.normal() + 9 * (rng.random() < 0.08))
+            rows.append((slice_id, i, 60 + float(lat), 10 + float(lon), elev, value, bool(case < 3 or rng.random() < 0.7)))
+            by.setdefault(slice_id, []).append(rows[-1][2:])
+    df = spark.createDataFrame(rows, SCHEMA + ", judge boolean").repartition(3)
+    got = {(r["slice_id"], r["station_idx"]): r["flag"] for r in sct(df, mask="judge", **args).collect()}
+    assert len(got) == 180
+    for slice_id, own in by.items():
+        assert [got[slice_id, i] for i in range(60)] == plain_sct(own, **args)
+    assert {"Pass", "Fail", "Isolated", "Invalid", "DataMissing"} <= set(got.values())
+
+
+def test_sct_sweeps_are_the_whole_slices(spark):
+    # Alone the row is quiet after a sweep; a far-off group that fails someone makes all go through another.
+    far = {"inner_radius": 0.0, "outer_radius": 100.0, "num_iterations": 2, "num_min": 3, "pos": 1.0, "neg": 1.0}
+    row = ([10.0, 10.17, 9.83], [1, 1, 1])
+    other = ([40 + 0.01 * k for k in range(8)], [0, 0, 0, 50, 0, 0, 0, 0])
+    assert flags(sct(stations(spark, *row), **ARGS | far)) == ["Pass", "Isolated", "Isolated"]
+    both = flags(sct(stations(spark, row[0] + other[0], row[1] + other[1]), **ARGS | far))
+    assert both[:3] == ["Isolated"] * 3 and "Fail" in both
+
+
+def test_sct_arguments_by_station(spark):
+    df = stations(spark, [10, 10.01, 10.02], [0, 1, 100]).withColumn("p", F.when(F.col("station_idx") == 2, 9.0).otherwise(2.0))
+    assert flags(sct(df, **ARGS | {"pos": F.col("p"), "neg": F.col("p"), "eps2": F.lit(0.5)})) == ["Pass"] * 3
+    for name in ("pos", "neg", "eps2"):
+        with pytest.raises(PySparkException, match=name):
+            sct(df, **ARGS | {name: F.col("p") - 5}).collect()
+    with pytest.raises(PySparkException, match="latlon"):
+        sct(stations(spark, [10, 400], [0, 1]), **ARGS).collect()
+
+
+def odd_stations(spark):
+    """Repeated stations, a null slice, null numbers and coordinates, and names that results have."""
+    rows = [(s, i, 60.0, o, 0.0, v) for s in (1, None) for i, o, v in ((0, 10.0, 0.0), (1, 10.01, 0.0), (1, 10.01, 0.0), (2, 10.02, 0.1), (2, 10.02, 0.1), (3, 10.03, 9.0), (None, 10.04, 0.0), (4, None, 1.0), (5, 10.05, None))]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"flag": F.lit("own"), "x": F.lit("x"), "_row": F.lit(-1), "judge": F.lit(7), "prob_gross_error": F.lit(5)})
+
+
+def test_odd_stations(spark):
+    df = odd_stations(spark)
+    near = neighbours(df, 1e6, carry=("x", "value")).collect()
+    assert {r["n_x"] for r in near} == {"x"} and {r["slice_id"] for r in near} == {1, None}
+    assert sum(r["slice_id"] is None for r in near) == len(near) / 2 and sum(r["station_idx"] == 1 for r in near) == 2 * 2 * 6
+    checked_ = buddy_check(df, 1e6, 2, 2.0, 200.0, -0.0065, 0.01, 2)
+    tested = sct(df, **ARGS | {"num_min": 3})
+    for out, more in ((checked_, ["flag_"]), (tested, ["flag_", "prob_gross_error_"])):
+        rows = out.collect()
+        assert out.columns == [*df.columns, *more] and len(rows) == 18 and {r["flag"] for r in rows} == {"own"}
+        for s in (1, None):
+            got = sorted(((r["station_idx"] is not None, r["station_idx"] or 0, r["flag_"]) for r in rows if r["slice_id"] == s))
+            assert [f for *_, f in got][:1] + [f for *_, f in got][-3:] == ["Pass", "Fail", {"buddy": "Pass", "sct": "Isolated"}["sct" if len(more) > 1 else "buddy"], "DataMissing"]
+    assert buddy_check(df.limit(0), 1e6, 2, 2.0, 200.0, -0.0065, 0.01, 2).count() == 0 == sct(df.limit(0), **ARGS).count()
+
+
+def test_crowded_cells(spark):
+    rng = np.random.default_rng(21)
+    df = stations(spark, list(rng.uniform(10, 10.5, 150)), [0.0] * 150, lats=list(rng.uniform(60, 60.3, 150)))
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(neighbours(df, 100.0, dense=7)) == key(neighbours(df, 100.0))
+
+
+def test_lookup_by_index(spark):
+    from kestrelqc.operators.neighbours import at_index
+
+    df = odd_stations(spark).where("station_idx in (0, 3)")
+    wanted = spark.createDataFrame([(1, 3, "a"), (None, 0, "b"), (2, 0, "c"), (1, None, "d")], "slice_id int, station_idx int, lat string")
+    got = sorted((r["slice_id"] or 0, r["station_idx"], r["lat"], r["lat_"], r["lon"]) for r in at_index(df, wanted).collect())
+    assert got == [(0, 0, "b", 60.0, 10.0), (1, 3, "a", 60.0, 10.03)]
+
+
+def test_median_slopes_of_blocks(spark, monkeypatch):
+    from kestrelqc.functions import stats
+
+    rng, rows = np.random.default_rng(22), []
+    for g, n in enumerate((1, 2, 3, 40, 121)):
+        rows += [(g, i, float(rng.integers(0, 60)) * (1.0 if g % 2 else 0.7), float(rng.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, i long, z double, v double")
+    for block in (2048, 16):
+        monkeypatch.setattr(stats, "BLOCK", block)
+        got = {r["g"]: r["fitted"] for r in stats.median_slopes(df).collect()}
+        for g in range(1, 5):
+            own = [r for r in rows if r[0] == g]
+            slopes = [0.0 if abs(a[2] - b[2]) < 1 else (a[3] - b[3]) / (a[2] - b[2]) for k, a in enumerate(own) for b in own[k + 1 :]]
+            assert got[g] == pytest.approx(np.median(slopes), abs=1e-12), (block, g)
+        assert set(got) == {1, 2, 3, 4}
+
+
+def test_profiles_of_odd_rows(spark):
+    from kestrelqc.functions.stats import profile_lines
+
+    rows = [(None, i, 10.0 * i, 1.0 - 0.5 * i) for i in range(12)] + [("a", 0, 5.0, 2.0), ("a", 1, None, 3.0), ("a", 2, NAN, 3.0), ("a", 3, 1.0, math.inf)]
+    got = {r["k"]: r for r in profile_lines(spark.createDataFrame(rows, "k string, i int, z double, v double"), ["k"], "z", "v", 5, 50.0, "i").collect()}
+    assert got[None]["kind"] == "full" and got[None]["slope"] == pytest.approx(-0.05) and got[None]["intercept"] == pytest.approx(1.0)
+    assert (got["a"]["kind"], got["a"]["intercept"]) == ("flat", 2.0)
 
 
 @pytest.mark.parametrize(
@@ -166,7 +318,7 @@ def test_whole_profiles_against_all_pairs(spark, name):
     by = {}
     for r in customer_stations(spark, SF).collect():
         by.setdefault(r["slice_id"], []).append((50.0 if name == "flat" else r["elev"], r["value"]))
-    got = {r["slice_id"]: r for r in QUERIES[f"theil_sen_whole_{name}"](spark, SF).collect()}
+    got = {r["slice_id"]: r for r in QUERIES[f"theil_sen_profile_{name}"](spark, SF).collect()}
     assert set(got) == set(by)
     for k, rows in by.items():
         z, v = np.array(rows, float).T

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelqc.cluster import ship, sized, written
-from kestrelqc.llm.graph import components
+from kestrelqc.operators.graph import components
 from kestrelqc.llm.joins import attached
 from kestrelqc.llm.ring import Ring, expanded, majority, run_ends, united
 from kestrelqc.llm.words import Words, chunks, mixed
@@ -29,8 +29,8 @@ BANDS, ROWS = 32, 6
 #: Fingerprints of two texts at the similarity lie within the bound; the shorter one goes with the bands.
 SHORT, WIDE = Ring(128, 48, 8, 4), Ring(512, 140, 32, 6)
 #: Rows above which the rows of a band are linked to one of them instead of being compared, and above which a loose group
-#: is dealt to a task for each pair of its blocks.
-RUN_ROWS, GROUP_ROWS = 4096, 1024
+#: is cut into blocks.
+RUN_ROWS, GROUP_ROWS = 4096, 512
 
 _SALTS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 
@@ -200,13 +200,15 @@ def loose_links(classes: DataFrame) -> DataFrame:
     return links.unionByName(spark.createDataFrame(more, "a long, b long")) if more else links
 
 
-def verified(sets: list[np.ndarray], prints: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Label of each row: rows that a path of near copies joins get the same. Rows of side 1 and 2 meet the other side only.
+def verified(sets: list[np.ndarray], prints: np.ndarray, side: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Label of each row: rows that are ``known`` to be joined, or that a path of near copies joins, get the same.
 
-    ``prints`` are wide fingerprints; pairs that they leave are compared by their sets, unless a path joins them already.
+    Rows of side 1 and 2 meet the other side only. ``prints`` are wide fingerprints; pairs that they leave are compared by
+    their sets, unless a path joins them already.
     """
     n = len(sets)
-    label, size = np.arange(n), np.array([len(s) for s in sets])
+    _, first, back = np.unique(known, return_index=True, return_inverse=True)
+    label, size = first[back], np.array([len(s) for s in sets])
     for i in range(1, n):
         at = np.flatnonzero((label[:i] != label[i]) & ((side[:i] == 0) | (side[:i] != side[i])) & (DEN * np.minimum(size[:i], size[i]) >= NUM * np.maximum(size[:i], size[i])))
         if not len(at):
@@ -224,52 +226,83 @@ def verified(sets: list[np.ndarray], prints: np.ndarray, side: np.ndarray) -> np
     return label
 
 
+def compared(rows: DataFrame) -> DataFrame:
+    """Links ``a, b`` of ``rows`` (``root, part, side, node, known, wide, own``), each ``root, part`` compared in one task."""
+    names = ["root", "part", "side", "node", "known", "wide", "own"]
+
+    def link(batches):
+        held: list[tuple] = []
+        for batch in _ended(batches):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True) if batch is not None else [None]:
+                if held and (row is None or row[:2] != held[0][:2]):
+                    prints = np.frombuffer(b"".join(r[5] for r in held), np.uint64).reshape(len(held), -1)
+                    label = verified([np.frombuffer(r[6], np.uint64) for r in held], prints, np.array([r[2] for r in held]), np.array([r[4] for r in held]))
+                    at = np.flatnonzero(label != np.arange(len(label)))
+                    if len(at):
+                        ids = np.array([r[3] for r in held])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], names=["a", "b"])
+                    held = []
+                if row is not None and not (held and row[2:4] == held[-1][2:4]):  # a row that repeats
+                    held.append(row)
+
+    return rows.select(*names).repartition("root", "part").sortWithinPartitions("root", "part", "node", "side").mapInArrow(link, "a long, b long")
+
+
 def near_links(documents: DataFrame, classes: DataFrame, shingle: int = 5) -> DataFrame:
     """Links ``a, b`` that join the nodes of ``classes`` (``node, fp, sim, bands`` and ``lead``: id and text of one of its rows) as pairs of the similarity do.
 
-    The texts of loose groups, and no others, are read again for their shingles. A loose group of over ``GROUP_ROWS``
-    classes is dealt to a task for each pair of its blocks.
+    The texts of loose groups, and no others, are read again for their shingles. A group of over ``GROUP_ROWS`` classes is
+    cut into blocks, each compared by itself. Then one of the largest component of each block meets those of the others, and
+    at last all rows that are not in the group's largest component so far, in blocks of their own, meet every block. So
+    no pair is left out, and a group that is nearly all one component costs little more than its rows.
     """
     roots = written(components(loose_links(classes)), "loose")
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("blocks")).where("blocks > 1")
     wanted = classes.select("node", "fp", "lead").join(roots.withColumnRenamed("v", "node"), "node")
     wanted = written(wanted.join(sized(written(blocks, "blocks")), "root", "left").select("node", "fp", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.col("lead.doc_id").alias("id"), F.col("lead.th").alias("h")), "wanted")
-    texts = _rows_of(documents)
-    texts = texts.join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("root", "blocks", "node", "fp", "text")
-    names = ["root", "pair", "side", "node", "wide", "own"]
-    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary()]
+    texts = _rows_of(documents).join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("root", "blocks", "node", "fp", "text")
+    names = ["root", "blocks", "node", "wide", "own"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-    def deal(batches):
+    def read(batches):
         for batch in batches:
             known = zip(*(batch.column(c).to_pylist() for c in ("root", "blocks", "node", "fp")), strict=True)
             for texts in chunks(batch.column("text")):
-                rows = []
-                for own, (root, many, node, fp) in zip(shingle_sets(texts, shingle), known):
-                    if not len(own) or digest(own) != fp:
-                        continue
-                    wide, b = majority(own, WIDE.bits // 64), int.from_bytes(fp[:4], "little") % many
-                    for c in range(many):
-                        rows.append((root, min(b, c) * many + max(b, c), 0 if b == c else 1 if b < c else 2, node, wide, own.tobytes()))
+                rows = [(root, many, node, majority(own, WIDE.bits // 64), own.tobytes()) for own, (root, many, node, fp) in zip(shingle_sets(texts, shingle), known) if len(own) and digest(own) == fp]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    def link(batches):
-        held: list[tuple] = []
-        for batch in _ended(batches):
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True) if batch is not None else [None]:
-                if held and (row is None or row[:2] != held[0][:2]):
-                    prints = np.frombuffer(b"".join(r[4] for r in held), np.uint64).reshape(len(held), -1)
-                    label = verified([np.frombuffer(r[5], np.uint64) for r in held], prints, np.array([r[2] for r in held]))
-                    at = np.flatnonzero(label != np.arange(len(label)))
-                    if len(at):
-                        ids = np.array([r[3] for r in held])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], names=["a", "b"])
-                    held = []
-                if row is not None and not (held and row[3] == held[-1][3]):  # a row that repeats
-                    held.append(row)
-
-    dealt = texts.mapInArrow(deal, "root long, pair long, side byte, node long, wide binary, own binary")
-    return dealt.repartition("root", "pair").sortWithinPartitions("root", "pair", "node").mapInArrow(link, "a long, b long")
+    found = texts.mapInArrow(read, "root long, blocks long, node long, wide binary, own binary")
+    side = lambda k: F.lit(k).alias("side")
+    block = F.pmod(F.xxhash64("node"), "blocks")
+    if roots.isEmpty():
+        return roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
+    sets = written(found, "sets")
+    links = written(compared(sets.select("*", block.alias("part"), side(0), F.col("node").alias("known"))), "links")
+    hot = sets.where("blocks > 1").withColumn("part", block)
+    if hot.isEmpty():
+        return links
+
+    def labelled(links: DataFrame) -> DataFrame:
+        names = components(links).select(F.col("v").alias("node"), F.col("root").alias("label"))
+        return written(hot.select("root", "blocks", "part", "node").distinct().join(names, "node", "left").withColumn("known", F.coalesce("label", "node")).drop("label"), "known")
+
+    known = labelled(links)
+    largest = known.groupBy("root", "blocks", "part", "known").agg(F.count("*").alias("n"), F.min("node").alias("node")).groupBy("root", "blocks", "part").agg(F.max(F.struct("n", "node"))["node"].alias("node"))
+    some = hot.drop("part", "root", "blocks").join(largest, "node")
+    links = written(links.unionByName(compared(some.select("*", side(0), F.col("node").alias("known")).withColumn("part", F.pmod(F.xxhash64("part"), F.ceil(F.col("blocks") / GROUP_ROWS))))), "links")
+    known = labelled(links)
+    main = known.groupBy("root", "known").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "known"))["known"].alias("main"))
+    odd = known.join(main, "root").where(F.col("known") != F.col("main"))
+    heaps = written(odd.groupBy("root").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("heaps")), "heaps")
+    if heaps.isEmpty():
+        return links
+    rows = hot.select("node", "wide", "own").join(known.join(heaps, "root").join(main, "root"), "node")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1))
+    stay = rows.withColumn("heap", every).select("root", (F.col("part") * F.col("heaps") + F.col("heap")).alias("part"), side(2), "node", "known", "wide", "own")
+    visit = rows.where(F.col("known") != F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    visit = visit.select("root", (F.col("block") * F.col("heaps") + F.pmod(F.xxhash64("node", F.lit(1)), "heaps")).alias("part"), side(1), "node", "known", "wide", "own")
+    return links.unionByName(compared(stay.unionByName(visit)))
 
 
 def groups(documents: DataFrame, shingle: int = 5) -> DataFrame:

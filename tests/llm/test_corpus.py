@@ -14,7 +14,8 @@ from conftest import SF
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from kestrelqc.llm import bpe, chat, decontamination, graph, joins, langid, nearcopies, quality, sharding, simhash, toxicity, warc
+from kestrelqc.operators import graph
+from kestrelqc.llm import bpe, chat, decontamination, joins, langid, nearcopies, quality, sharding, simhash, toxicity, warc
 
 
 def brute_components(n, near):

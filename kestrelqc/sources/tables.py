@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from kestrelqc.operators.series import densify
 
-SERIES_START, SERIES_END, SERIES_STEP = "2024-01-01 00:00:00", "2024-01-30 23:00:00", "1 hour"
-
 SERIES_SQL = """
     slots AS (
         SELECT n.series_id, s.ts FROM (SELECT DISTINCT event_type AS series_id FROM events) n,
-            (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts) s),
+            (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM (SELECT min(date_trunc('hour', ts)) AS a, max(date_trunc('hour', ts)) AS b FROM events)) s),
     hourly AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, max(value)::FLOAT AS value FROM events GROUP BY ALL),
     series AS (SELECT slots.series_id, slots.ts, hourly.value FROM slots LEFT JOIN hourly USING (series_id, ts))"""
 
@@ -44,9 +42,10 @@ def write_flags(flags: DataFrame, path: str, partition: str | None = None) -> No
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly series of the largest value of each type of event."""
+    """Hourly series of the largest value of each type of event, from the first hour that has one to the last."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("series_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), "value")
-    return densify(events, SERIES_START, SERIES_END, SERIES_STEP)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    return densify(events, first, last, "1 hour")
 
 
 def customer_stations(spark: SparkSession, sf_dir: str) -> DataFrame:

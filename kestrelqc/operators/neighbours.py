@@ -88,12 +88,13 @@ def nearest(pairs: DataFrame, most: int, digits: int | None = None) -> DataFrame
 
 
 def unflagged(pairs: DataFrame, flags: DataFrame) -> DataFrame:
-    """Pairs whose neighbour's ``flag`` (in ``slice_id, station_idx, flag``) is Pass."""
-    good = flags.where("flag = 'Pass'").select("slice_id", F.col("station_idx").alias("neighbour_idx"))
-    return pairs.join(good, ["slice_id", "neighbour_idx"], "left_semi").select(pairs.columns)
+    """Pairs whose neighbour's ``flag`` (in ``slice_id, station_idx, flag``) is Pass. A null slice matches a null slice."""
+    good = flags.where("flag = 'Pass'").select(F.col("slice_id").alias("_slice"), F.col("station_idx").alias("_idx"))
+    return pairs.join(good, F.col("slice_id").eqNullSafe(F.col("_slice")) & (F.col("neighbour_idx") == F.col("_idx")), "left_semi")
 
 
 def gather(pairs: DataFrame, stations: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs with columns of the neighbour."""
-    other = stations.select("slice_id", F.col("station_idx").alias("neighbour_idx"), *columns)
-    return pairs.join(other, ["slice_id", "neighbour_idx"])
+    """Pairs with columns of the neighbour, under free names. A null slice matches a null slice; repeated stations give a row each."""
+    other = stations.select(F.col("slice_id").alias("_slice"), F.col("station_idx").alias("_idx"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_with"))
+    found = pairs.join(other, F.col("slice_id").eqNullSafe(F.col("_slice")) & (F.col("neighbour_idx") == F.col("_idx")))
+    return found.select(*pairs.columns, *(F.col(f"_with.`{c}`").alias(free_name(c, pairs.columns)) for c in columns))

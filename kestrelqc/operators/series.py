@@ -14,12 +14,13 @@ SEVERITIES = ("observed", "documented")
 def densify(df: DataFrame, start, end, step: str, series: str = "series_id", ts: str = "ts", value: str = "value") -> DataFrame:
     """One row for each series and slot from ``start`` to ``end`` (both inclusive), ``step`` apart (an interval in SQL).
 
-    A slot without a row has a null value. Of rows in one slot the largest value counts. Rows off the grid are not taken.
+    A slot without a row has a null value. Of rows in one slot the largest value counts. Rows off the grid, or without a
+    time, are not taken. A null series is a series. An empty table gives no slot.
     """
     names = df.select(series).distinct()
     slots = names.select(series, F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"interval {step}"))).alias(ts))
-    got = df.groupBy(series, F.col(ts).cast("timestamp").alias(ts)).agg(F.max(value).alias(value))
-    return slots.join(got, [series, ts], "left").select(series, ts, F.col(value).cast("float").alias(value))
+    got = df.groupBy(F.col(series).alias("_s"), F.col(ts).cast("timestamp").alias("_t")).agg(F.max(value).cast("float").alias("_v"))
+    return slots.join(got, F.col(series).eqNullSafe(F.col("_s")) & (F.col(ts) == F.col("_t")), "left").select(series, ts, F.col("_v").alias(value))
 
 
 #: Seconds that a piece of a series spans: no task holds a longer stretch of one series.

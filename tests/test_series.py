@@ -77,6 +77,9 @@ def test_densify_and_empty(spark):
     out = densify(df, "2024-01-01 00:00:00", "2024-01-01 04:00:00", "1 hour").orderBy("ts").collect()
     assert [r["value"] for r in out] == [1.0, None, 3.0, None, None]
     assert dip_check(df.limit(0), 4, 10).count() == 0
+    odd = spark.createDataFrame([(None, T0, 5.0), (None, T0, 7.0), ("b", None, 1.0)], df.schema)
+    slots = densify(odd, "2024-01-01 00:00:00", "2024-01-01 01:00:00", "1 hour").collect()
+    assert sorted(((r["series_id"], r["value"]) for r in slots), key=str) == [("b", None), ("b", None), (None, 7.0), (None, None)]
 
 
 def test_stream_as_batch(spark, tmp_path):

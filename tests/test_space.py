@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from kestrelqc.flags import InvalidArg
 from kestrelqc.functions.geo import great_circle
 from kestrelqc.operators.buddy import buddy_check
-from kestrelqc.operators.neighbours import nearest, neighbours
+from kestrelqc.operators.neighbours import gather, nearest, neighbours, unflagged
 from kestrelqc.operators.sct import sct
 
 # The coordinates, values and flags of the known cases of test_buddy_vectors and test_sct_vectors, and the
@@ -226,6 +227,11 @@ def test_odd_stations(spark):
     near = neighbours(df, 1e6, carry=("x", "value")).collect()
     assert {r["n_x"] for r in near} == {"x"} and {r["slice_id"] for r in near} == {1, None}
     assert sum(r["slice_id"] is None for r in near) == len(near) / 2 and sum(r["station_idx"] == 1 for r in near) == 2 * 2 * 6
+    flagged = df.withColumn("flag", F.when(F.col("station_idx") == 2, "Fail").otherwise("Pass"))
+    pairs = neighbours(df.where("station_idx in (0, 1, 2)"), 1e6).dropDuplicates()
+    assert Counter((r["slice_id"], r["neighbour_idx"]) for r in unflagged(pairs, flagged).collect()) == {(s, i): 2 for s in (1, None) for i in (0, 1)}
+    found = gather(pairs.withColumn("x", F.lit("mine")), df.dropDuplicates(["slice_id", "station_idx"]), ["x", "value"])
+    assert found.count() == 12 and found.columns[-3:] == ["x", "x_", "value"]
     checked_ = buddy_check(df, 1e6, 2, 2.0, 200.0, -0.0065, 0.01, 2)
     tested = sct(df, **ARGS | {"num_min": 3})
     for out, more in ((checked_, ["flag_"]), (tested, ["flag_", "prob_gross_error_"])):

@@ -60,6 +60,20 @@ def removed(spark: SparkSession, since: int = 0) -> None:
     del _MADE[since:]
 
 
+def made() -> int:
+    """How many tables and folders have been named so far and not removed."""
+    return len(_MADE)
+
+
+def settled(df: DataFrame, since: int, name: str = "table") -> DataFrame:
+    """``df`` written as by :func:`written`, after which what was made from the ``since``-th on, and only served it, is removed."""
+    out = written(df, name)
+    path = _MADE.pop()
+    removed(df.sparkSession, since)
+    _MADE.append(path)
+    return out
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession):
     """Remove the intermediate tables that are made inside, and set the size of Arrow batches back, at the end.

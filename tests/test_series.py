@@ -175,6 +175,9 @@ def test_shared_folder(spark):
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         cluster.shared_dir(Cluster)
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    since = cluster.made()
+    kept = cluster.settled(cluster.written(spark.range(5)).where("id > 1"), since)
+    assert kept.count() == 3 and cluster.made() == since + 1
     with cluster.scope(spark):
         inside = cluster.written(spark.range(3)).inputFiles()[0].rpartition("/")[0].removeprefix("file://").removeprefix("file:")
         assert os.path.isdir(inside)

@@ -196,6 +196,21 @@ def test_sct_random_against_the_definition(spark, case):
     assert {"Pass", "Fail", "Isolated", "Invalid", "DataMissing"} <= set(got.values())
 
 
+def test_sct_query_against_the_definition(spark):
+    from conftest import SF
+
+    from kestrelqc.plans.queries import ELEV_DIFF, NUM_MIN, QUERIES, RADIUS2
+    from kestrelqc.sources.tables import customer_stations
+
+    by = {}
+    for r in customer_stations(spark, SF).orderBy("station_idx").collect():
+        by.setdefault(r["slice_id"], []).append((r["station_idx"], (r["lat"], r["lon"], r["elev"], r["value"], True)))
+    got = {(r["slice_id"], r["station_idx"]): r["flag"] for r in QUERIES["sct_boxes"](spark, SF).collect()}
+    for k, rows in by.items():
+        expect = plain_sct([r for _, r in rows], NUM_MIN, 100, 10.0, RADIUS2, 2, 20, ELEV_DIFF, 10.0, 200.0, 4.0, 8.0, 0.5)
+        assert [got[k, i] for i, _ in rows] == expect
+
+
 def test_sct_sweeps_are_the_whole_slices(spark):
     # Alone the row is quiet after a sweep; a far-off group that fails someone makes all go through another.
     far = {"inner_radius": 0.0, "outer_radius": 100.0, "num_iterations": 2, "num_min": 3, "pos": 1.0, "neg": 1.0}

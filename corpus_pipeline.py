@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelqc.cluster import written
+from kestrelqc.cluster import made, settled
 from kestrelqc.llm import bpe, decontamination, quality, simhash, toxicity
 
 
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. Each stage's documents are written; those of the stage before and the tables made on the way are then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = made()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), since, name)
     return STAGES[-1][1](spark, docs, sf_dir)

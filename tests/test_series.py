@@ -82,6 +82,12 @@ def test_densify_and_empty(spark):
     assert sorted(((r["series_id"], r["value"]) for r in slots), key=str) == [("b", None), ("b", None), (None, 7.0), (None, None)]
 
 
+def test_densify_by_the_calendar(spark):
+    df = spark.createDataFrame([("a", dt.datetime(2024, 3, 1), 3.0)], "series_id string, ts timestamp, value float")
+    out = densify(df, "2024-01-01 00:00:00", "2024-04-01 00:00:00", "1 month").orderBy("ts").collect()
+    assert [(r["ts"].month, r["value"]) for r in out] == [(1, None), (2, None), (3, 3.0), (4, None)]
+
+
 def test_stream_as_batch(spark, tmp_path):
     from kestrelqc.streaming.series import check_stream
 

@@ -15,18 +15,16 @@ import tiktoken
 
 
 @functools.cache
-def members(kind: str) -> str:
-    """All characters of a class, in order, by the library's tables."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+def members(kind: str, end: int = sys.maxunicode + 1) -> str:
+    """All characters of a class below ``end``, in order, by the library's tables."""
+    every = "".join(map(chr, [*range(min(end, 0xD800)), *range(0xE000, end)]))
     library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([k]): k for k in range(256)}, special_tokens={})
     return bytes(library.encode_ordinary(every)).decode()
 
 
 def _ranges(kind: str, end: int) -> str:
     out, start, last = [], None, -2
-    for c in map(ord, members(kind)):
-        if c >= end:
-            break
+    for c in map(ord, members(kind, end)):
         if c != last + 1:
             if start is not None:
                 out.append((start, last))

@@ -375,6 +375,40 @@ def test_pairs_are_made_where_they_meet(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def joined_rows(df):
+    """What the joins by hash of both sides have made, after ``df`` has run."""
+    nodes, found = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        name, inner = node.nodeName(), node.children()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        elif name == "ShuffledHashJoin":
+            found += node.metrics().apply("numOutputRows").value()
+        nodes += [inner.apply(i) for i in range(inner.size())]
+    return found
+
+
+def test_stations_of_one_place_meet_as_one(spark):
+    # 20 stations at each of 6 places, two apart: the join has a row for a pair of places, not of stations.
+    rows = [(None if i % 3 else 1, i, 60.0 + i % 2 * 0.02, 10.0 + i % 3 * 0.04, float(i), float(i)) for i in range(120)]
+    rows += [(1, 0, 60.0, 10.0, 5.0, 5.0), (1, None, 60.0, 10.04, 6.0, 6.0), (1, 500, None, 10.0, 7.0, 7.0), (1, 501, NAN, 10.0, 8.0, 8.0), (1, 502, -60.0, 180.0, 9.0, 9.0), (1, 503, -60.0, -180.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for include in (False, True):
+        for dense in (1, 7, 20_000):
+            pairs = neighbours(df, 100.0, include, carry=("elev",), own=("value",), dense=dense)
+            got = Counter(tuple(r[c] for c in ("slice_id", "station_idx", "neighbour_idx", "own_value", "n_elev")) for r in pairs.collect())
+            xyz = [None if r[2] is None or math.isnan(r[2]) else [6371 * f for f in (math.cos(math.radians(r[2])) * math.cos(math.radians(r[3])), math.cos(math.radians(r[2])) * math.sin(math.radians(r[3])), math.sin(math.radians(r[2])))] for r in rows]
+            expect = Counter((a[0], a[1], b[1], a[5], b[4]) for a, p in zip(rows, xyz, strict=True) for b, q in zip(rows, xyz, strict=True) if a[0] == b[0] and p and q and math.dist(p, q) <= 10 and (include or p != q))
+            assert got == expect, (include, dense)
+            if dense == 20_000:
+                assert 0 < joined_rows(pairs) < sum(expect.values()) / 20
+    varied = neighbours(df, F.when(F.col("station_idx") % 2 == 0, 0.01).otherwise(100.0), largest=100.0)
+    assert {r["station_idx"] % 2 for r in varied.where("station_idx < 500 and distance > 1").collect()} == {1}
+
+
 def test_rounded(spark):
     from kestrelqc.functions.values import rounded
 
